@@ -35,7 +35,7 @@ def flush_memtables(memtable_rows: int) -> Callable[[Iterator[pa.RecordBatch]],
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for batch in batches:
-            held = [merged([*held, pa.Table.from_batches([batch])])]
+            held = [merged([*held, pa.Table.from_arrays(batch.columns, ["digest", "keep_id", "group_size"])])]
             if held[0].num_rows >= memtable_rows:
                 yield from held[0].sort_by("digest").to_batches()
                 held = []
