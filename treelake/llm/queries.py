@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "bpe")
+MODULES = ("exact_dedup", "bpe", "mixing")
 
 QUERIES: dict = {}
 SQL: dict = {}
