@@ -136,15 +136,15 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = 64) -> DataFrame:
     in_rest = in_rest.otherwise(F.coalesce(place <= F.col("last"), F.lit(False)))
     out = joined(rows, ends, few).withColumn("in_rest", in_rest)
 
-    # Of the documents left out, the largest that still fits takes up what is missing from the rest; again while it helps.
-    key = F.struct("size", "at", "doc_id")
+    # Of the documents left out, the largest that fits (else the least too large) takes up what the rest lacks.
+    key, off = F.struct("at", "doc_id", "size"), F.abs(F.col("gap") - F.col("size"))
     for _ in range(FILLS):
         missing = F.first("rest") - F.sum(F.when(F.col("in_rest"), F.col("size")).otherwise(0))
         gaps = stored(out.groupBy("source").agg(missing.alias("gap"), F.first("target").alias("goal")), "mix-gaps")
         if gaps.filter(F.col("gap") > F.col("goal") * NEAR).isEmpty():
             break
-        fits = joined(out.filter("not in_rest"), gaps, few).filter("size > 0 and size <= gap")
-        fill = stored(fits.groupBy("source").agg(F.max(key).alias("fill")), "mix-fill").withColumnRenamed("source", "s")
+        fits = joined(out.filter("not in_rest"), gaps, few).filter("size > 0 and size < 2 * gap")
+        fill = stored(fits.groupBy("source").agg(F.min_by(key, F.struct(F.col("size") > F.col("gap"), off, "at", "doc_id")).alias("fill")), "mix-fill").withColumnRenamed("source", "s")
         out = out.join(F.broadcast(fill) if few else fill, same, "left")
         out = out.withColumn("in_rest", F.col("in_rest") | F.coalesce(key == F.col("fill"), F.lit(False))).drop("s", "fill")
     times = F.col("rounds") + F.col("in_rest").cast("int")
