@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "bpe", "mixing")
+MODULES = ("exact_dedup", "bpe", "mixing", "simhash")
 
 QUERIES: dict = {}
 SQL: dict = {}
