@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
-Each task gathers the words that its batch brings anew, lays their bytes out as one linked list of symbols, maps every
-mergeable pair to all its positions, and applies the active ranks in ascending order; each merge updates only the
-position lists of the two neighbouring pairs. Documents are then put together from the words' ids.
+Each task gathers the words that its batch brings anew, lays their bytes out as one list of symbols, indexes every
+mergeable pair's positions by its rank, and applies the active ranks of each word in ascending order; each merge updates
+only the entries of the two neighbouring pairs. Documents are then put together from the words' ids.
 
 Defined results: a null text counts as empty and has no tokens; strings of added tokens in a text become their ids, as
 in the tokenizers library; very long texts are encoded whole; repeated rows and ties give equal rows; an empty table
@@ -28,6 +28,10 @@ from treelake.llm.common import table
 
 #: Fixed value: the published splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words of more bytes are encoded through linked lists.
+LONG_WORD = 128
+#: The rank of pairs that do not merge.
+NEVER = 1 << 40
 #: Marks where a text is cut before its spaces; texts that hold it are cut another way.
 CUT = ""
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -58,31 +62,86 @@ class ByteBpe:
         self.pairs = [(vocab[a], vocab[b]) for a, b in merges]
         self.made = [vocab[a + b] for a, b in merges]
         self.rank = {a << 20 | b: r for r, (a, b) in reversed(list(enumerate(self.pairs)))}
-        top = max(self.first) + 2
-        self.first_rank = np.full((top, top), -1)
-        for a in self.first:
-            for b in self.first:
-                self.first_rank[a, b] = self.rank.get(a << 20 | b, -1)
+        self.first_of, self.made_of = np.array(self.first), np.array(self.made)
+        self.sorted_keys, self.sorted_ranks = (np.array(x) for x in zip(*sorted(self.rank.items()), (1 << 62, NEVER), strict=True))
         self.split_words = regex.compile(PATTERN).findall
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else None
         self.irregular = regex.compile(r"\s |^ |" + CUT).search
         self.cache_size, self.words, self.pieces = cache_size, {}, {}
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, from one pair occurrence index over all of them."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word."""
+        out = [b""] * len(words)
+        data = [w.encode() for w in words]
+        short = [i for i, d in enumerate(data) if len(d) <= LONG_WORD]
+        long = [i for i, d in enumerate(data) if len(d) > LONG_WORD]
+        for which, encode in ((short, self.encode_together), (long, self.encode_long)):
+            if which:
+                for i, ids in zip(which, encode([data[i] for i in which])):
+                    out[i] = ids
+        return out
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, NEVER if it does not merge."""
+        keys = left << 20 | right
+        at = np.searchsorted(self.sorted_keys, keys)
+        return np.where(self.sorted_keys[at] == keys, self.sorted_ranks[at], NEVER)
+
+    def encode_together(self, data: list[bytes]) -> list[bytes]:
+        """Words of moderate length, all at once: the index holds the rank of the pair at every position.
+
+        Words are independent, so each step applies the lowest active rank of every word at all its positions, and
+        looks up again only the pairs beside the new symbols.
+        """
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        symbols = self.first_of[np.frombuffer(b"".join(data), np.uint8)]
+        word = np.repeat(np.arange(len(data)), sizes)
+        rank = np.full(len(symbols), NEVER)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        rank[inside] = self.ranks(symbols[inside], symbols[inside + 1])
+        done = []
+        while len(symbols):
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            counts = np.diff(np.append(starts, len(word)))
+            lowest = np.repeat(np.minimum.reduceat(rank, starts), counts)
+            over = lowest == NEVER
+            if over.any():
+                done.append((word[over], symbols[over]))
+                go_on = ~over
+                symbols, word, rank, lowest = symbols[go_on], word[go_on], rank[go_on], lowest[go_on]
+                if not len(symbols):
+                    break
+            merge = rank == lowest
+            if (merge[1:] & merge[:-1]).any():  # of overlapping pairs every other one, from the left
+                place = np.arange(len(merge))
+                fresh = merge & ~np.concatenate(([False], merge[:-1]))
+                merge &= (place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0
+            symbols[merge] = self.made_of[rank[merge]]
+            stay = ~np.concatenate(([False], merge[:-1]))
+            symbols, word, rank, merge = symbols[stay], word[stay], rank[stay], merge[stay]
+            beside = np.flatnonzero(merge | np.concatenate((merge[1:], [False])))
+            rank[beside] = NEVER
+            beside = beside[beside + 1 < len(word)]
+            beside = beside[word[beside] == word[beside + 1]]
+            rank[beside] = self.ranks(symbols[beside], symbols[beside + 1])
+        word, symbols = (np.concatenate(x) for x in zip(*done))
+        packed = symbols[np.argsort(word, kind="stable")].astype("<u4").tobytes()
+        ends = np.cumsum(np.bincount(word, minlength=len(data))) * 4
+        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def encode_long(self, words: list[bytes]) -> list[bytes]:
+        """Very long words, from one index of each active rank's positions in linked lists of symbols."""
         rank, pairs, made = self.rank.get, self.pairs, self.made
         symbols, starts, first = [-1], [], self.first.__getitem__
         for word in words:
             starts.append(len(symbols))
-            symbols.extend(map(first, word.encode()))
+            symbols.extend(map(first, word))
             symbols.append(-1)
         after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
         places: dict[int, list[int]] = defaultdict(list)
-        flat = np.array(symbols)
-        found = self.first_rank[flat[:-1], flat[1:]]
-        at = np.flatnonzero(found >= 0)
-        for i, r in zip(at.tolist(), found[at].tolist()):
-            places[r].append(i)
+        for i, (a, b) in enumerate(zip(symbols, symbols[1:])):
+            if a >= 0 <= b and (r := rank(a << 20 | b)) is not None:
+                places[r].append(i)
         active = list(places)
         heapq.heapify(active)
         while active:
@@ -109,7 +168,7 @@ class ByteBpe:
             while (x := symbols[i]) != -1:
                 ids.append(x)
                 i = after[i]
-            out.append(ids)
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
         return out
 
     def learn(self, pieces: Iterable[str]) -> None:
@@ -120,8 +179,7 @@ class ByteBpe:
             self.words = {}
         split = {p: self.split_words(p) for p in pieces if p not in self.pieces}
         new = list({w for words in split.values() for w in words if w not in self.words})
-        for word, ids in zip(new, self.encode_words(new)):
-            self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+        self.words.update(zip(new, self.encode_words(new)))
         known = self.words
         for piece, words in split.items():
             self.pieces[piece] = b"".join([known[w] for w in words])
