@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "bpe", "mixing", "simhash", "toxicity", "pii")
+MODULES = ("exact_dedup", "bpe", "mixing", "simhash", "toxicity", "pii", "html_text")
 
 QUERIES: dict = {}
 SQL: dict = {}
