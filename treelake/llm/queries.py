@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "bpe", "mixing", "simhash", "toxicity", "pii", "html_text")
+MODULES = ("exact_dedup", "bpe", "mixing", "simhash", "toxicity", "pii", "html_text", "ann")
 
 QUERIES: dict = {}
 SQL: dict = {}
