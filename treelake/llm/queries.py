@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chat", "exact_dedup", "bpe", "mixing", "simhash", "toxicity", "pii", "html_text", "ann")
+MODULES = ("chat", "exact_dedup", "bpe", "mixing", "simhash", "toxicity", "pii", "html_text", "ann", "substring_dedup")
 
 QUERIES: dict = {}
 SQL: dict = {}
