@@ -98,9 +98,14 @@ def exact_dedup(docs: DataFrame, digest_chars: int = 64, memtable_rows: int = 20
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with their columns."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of each group of equal texts, with the columns of docs: that with the smallest doc_id."""
+    kept = stored(exact_dedup(docs).filter("kept").groupBy("doc_id", "text_sha256").count(), "dedup-kept")
+    chosen = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    sha = F.sha2(normalised(docs["text"]), 256)
+    rows = docs.join(chosen, (sha == chosen["kept_sha"]) & docs["doc_id"].eqNullSafe(chosen["kept_id"]), "left_semi")
+    if kept.filter("count > 1").isEmpty():
+        return rows
+    return rows.withColumn("kept_sha", F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["doc_id", "kept_sha"]).drop("kept_sha")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

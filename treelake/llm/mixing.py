@@ -17,7 +17,7 @@ taken equally often; a source of size 0 has target 0; an empty table gives no ro
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treelake.llm.common import WORD, stored, table
@@ -67,11 +67,15 @@ def split_draws(draws: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def permuted(seed: int) -> Column:
+    """The place of a row in the random permutation."""
+    return F.xxhash64(F.lit(seed), "doc_id", F.length("text"), F.crc32(F.coalesce("text", F.lit(""))))
+
+
 def measured(docs: DataFrame, seed: int) -> DataFrame:
     """doc_id, source, size and the place in the permutation (block, sub, at) of every row."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    h = F.xxhash64(F.lit(seed), "doc_id", F.length("text"), F.crc32(F.coalesce("text", F.lit(""))))
-    rows = docs.select("doc_id", "source", size.alias("size"), h.alias("at"))
+    rows = docs.select("doc_id", "source", size.alias("size"), permuted(seed).alias("at"))
     return rows.withColumns({"block": F.pmod("at", F.lit(BLOCKS)).cast("int"), "sub": F.pmod(F.shiftright("at", 8), F.lit(BLOCKS)).cast("int")})
 
 
@@ -82,9 +86,9 @@ def joined(rows: DataFrame, small: DataFrame, few: bool) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 7, shards: int = 64) -> DataFrame:
-    """doc_id, source, size, source_size, target, times, taken, shards of every row.
+    """doc_id, source, size, source_size, target, times, taken, shards, at of every row.
 
-    times is how often the row is taken, taken its words, shards the output shard of each copy.
+    at is the row's place in the permutation, times is how often the row is taken, taken its words, shards the output shard of each copy.
     """
     spark = docs.sparkSession
     rows = stored(measured(docs, seed), "mix-sizes")
@@ -93,7 +97,7 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = 64) -> DataFrame:
     sources = sorted({s for s, _, _ in blocks}, key=lambda s: (s is None, s or ""))
     if not sources:
         none = {"source_size": "long", "target": "double", "times": "int", "taken": "long", "shards": "array<int>"}
-        return rows.select("doc_id", "source", "size", *[F.lit(None).cast(t).alias(k) for k, t in none.items()])
+        return rows.select("doc_id", "source", "size", "at", *[F.lit(None).cast(t).alias(k) for k, t in none.items()])
     index = {s: i for i, s in enumerate(sources)}
     words = np.zeros((len(sources), BLOCKS), dtype=np.int64)
     for s, b, w in blocks:
@@ -156,14 +160,15 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = 64) -> DataFrame:
     draw = lambda k: k * BLOCKS + F.col("block")
     shard = F.transform(F.sequence(F.lit(0), F.col("times") - 1), lambda k: F.size(F.filter("ends", lambda e: e <= draw(k))))
     out = joined(out, ends_of, few).withColumn("shards", F.when(F.col("times") > 0, shard).otherwise(F.array().cast("array<int>")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "times", "taken", "shards")
+    return out.select("doc_id", "source", "size", "source_size", "target", "times", "taken", "shards", "at")
 
 
 def mixed(docs: DataFrame, seed: int = 7, shards: int = 64) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with shard and place: order by them within a shard."""
-    plan = mix(docs, seed, shards).filter("times > 0").select("doc_id", F.posexplode("shards").alias("copy", "shard"))
-    plan = plan.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "copy")).withColumnRenamed("doc_id", "its_id")
-    return docs.join(plan, docs["doc_id"].eqNullSafe(F.col("its_id"))).drop("its_id")
+    plan = mix(docs, seed, shards).filter("times > 0").select("doc_id", "at", F.posexplode("shards").alias("copy", "shard"))
+    plan = plan.dropDuplicates(["doc_id", "at", "copy"]).withColumn("place", F.xxhash64(F.lit(seed), "at", "copy"))
+    plan = plan.withColumnsRenamed({"doc_id": "its_id", "at": "its_place"})
+    return docs.join(plan, (permuted(seed) == F.col("its_place")) & docs["doc_id"].eqNullSafe(F.col("its_id"))).drop("its_id", "its_place")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:
 def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = fingerprints(batch["text"].to_pylist()).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(found)], ["doc_id", "text_key", "fp"])
 
 
 def key_pairs(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,25 +237,29 @@ def links(fps: DataFrame, bits: int = 3, owners: int = OWNERS) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, bits: int = 3, owners: int = OWNERS) -> DataFrame:
-    """doc_id, fingerprint, component_id of every row."""
-    prints = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(fingerprint_rows, "doc_id long, fp long"), "simhash-prints")
+    """doc_id, text_key (digest of the text), fingerprint, component_id of every row."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    prints = stored(rows.mapInArrow(fingerprint_rows, "doc_id long, text_key long, fp long"), "simhash-prints")
     first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = connected_components(links(first.select("fp"), bits, owners)).withColumnRenamed("node", "fp")
     named = stored(first.join(roots, "fp"), "simhash-named")
     least = stored(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
     linked = stored(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-linked")
     ids = stored(first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "simhash-ids")
-    return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(ids, "fp").select("doc_id", "text_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their component, with their columns."""
-    kept = near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of each component, with the columns of docs: that with the smallest doc_id."""
+    kept = near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = stored(kept.groupBy("component_id").agg(F.min("text_key").alias("kept_key"), F.count("*").alias("rows")), "simhash-kept")
+    same = (F.xxhash64(docs["text"]) == kept["kept_key"]) & docs["doc_id"].eqNullSafe(kept["component_id"])
+    rows = docs.join(kept.select("kept_key", "component_id"), same, "left_semi")
+    return rows if kept.filter("rows > 1").isEmpty() else rows.dropDuplicates(["doc_id"])
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 QUERIES = {"op10_simhash": op10}
