@@ -30,19 +30,30 @@ SAMPLE, MOST_LISTS = 20_000, 1024
 RECALL = 0.98
 #: Most vectors and queries of a group.
 GROUP = 2048
-COLUMNS = 16
+#: Vectors of the sample whose nearest bound a query's scan from the start.
+BOUNDS = 4096
+#: Columns read before each test.
+STOPS = (24, 40, 52)
 #: Deviations of the hypothesis test: larger drops fewer candidates.
-DEVIATIONS = 2.1
+DEVIATIONS = 1.2
 
 
 @dataclass
 class Lists:
-    """Centres, rotation and number of probes; longest is the largest norm of all vectors."""
+    """Centres, rotation, number of probes and some vectors of the sample; longest is the largest norm of all vectors."""
 
     centres: np.ndarray
     rotation: np.ndarray
     longest: float
     probes: int
+    some: np.ndarray
+
+    def bounds(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """A squared distance within which each query has 2 k + 1 vectors of the sample."""
+        if len(self.some) <= 2 * k:
+            return np.full(len(queries), np.inf)
+        product = -np.partition(-(queries @ self.some.T), 2 * k, axis=1)[:, 2 * k]
+        return (queries**2).sum(axis=1) + self.longest**2 - 2 * product
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         """Vectors with the component that turns inner product into distance."""
@@ -71,7 +82,7 @@ def fit(sample: np.ndarray, rows: int, longest: float, k: int, recall: float = R
     size = sample.shape[1] + 1
     rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, size)))[0]
     lists = 1 if rows <= 2000 else int(min(MOST_LISTS, len(sample) // 20, rows**0.5 / 2))
-    model = Lists(np.zeros((1, size)), rotation, longest, 1)
+    model = Lists(np.zeros((1, size)), rotation, longest, 1, sample[:BOUNDS])
     if lists <= 1:
         return model
     lifted = model.lifted(sample)
@@ -113,52 +124,56 @@ def probing(load: Callable[[], Lists], sizes: dict[int, int], k: int) -> Callabl
                 probe = (np.arange(len(count)) < model.probes) | (held - count[order] <= k)
                 rows, columns = np.nonzero(probe & (count[order] > 0))
                 taken = some.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([taken["vec_id"], taken["embedding"], pa.array(order[rows, columns].astype("i4"))], ["vec_id", "embedding", "list"])
+                bound = model.bounds(matrix(some["embedding"]), k)[rows]
+                yield pa.RecordBatch.from_arrays([taken["vec_id"], taken["embedding"], pa.array(order[rows, columns].astype("i4")), pa.array(bound)], ["vec_id", "embedding", "list", "bound"])
 
     return task
 
 
-def scan(queries: np.ndarray, vectors: np.ndarray, model: Lists, k: int) -> list[np.ndarray]:
-    """Per query, positions of the vectors that the adaptive scan keeps: its k nearest, save for the tests' errors."""
-    n = vectors.shape[1] + 1
-    q = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1) @ model.rotation
-    v = model.lifted(vectors) @ model.rotation
-    pilot = min(len(v), max(4 * k, 128))
-    far = np.maximum((q**2).sum(axis=1)[:, None] + (v[:pilot] ** 2).sum(axis=1) - 2 * q @ v[:pilot].T, 0)
-    kept = [np.arange(pilot)[row <= edge] for row, edge in zip(far, np.partition(far, min(k, pilot) - 1, axis=1)[:, min(k, pilot) - 1])]
-    if pilot == len(v):
-        return kept
-    limit = np.partition(far, min(k, pilot) - 1, axis=1)[:, min(k, pilot) - 1]
-    rest, d = v[pilot:], min(COLUMNS, n)
-    partial = (q[:, :d] ** 2).sum(axis=1)[:, None] + (rest[:, :d] ** 2).sum(axis=1) - 2 * q[:, :d] @ rest[:, :d].T
-    at_q, at_v = np.nonzero(partial * (n / d) <= (1 + DEVIATIONS / np.sqrt(d)) ** 2 * limit[:, None])
-    partial = partial[at_q, at_v]
-    while d < n:
-        e = min(d + COLUMNS, n)
-        partial = partial + ((q[at_q, d:e] - rest[at_v, d:e]) ** 2).sum(axis=1)
-        d = e
-        bound = limit[at_q] if d == n else (1 + DEVIATIONS / np.sqrt(d)) ** 2 * limit[at_q] * (d / n)
-        stay = partial <= bound + 1e-9
-        at_q, at_v, partial = at_q[stay], at_v[stay], partial[stay]
-    starts = np.searchsorted(at_q, np.arange(len(q) + 1))
-    return [np.concatenate([kept[i], at_v[starts[i] : starts[i + 1]] + pilot]) for i in range(len(q))]
+def scan(queries: np.ndarray, vectors: np.ndarray, bound: np.ndarray, model: Lists, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) that the adaptive scan keeps: k nearest within each query's bound, save for the tests' errors."""
+    q = (np.concatenate([queries, np.zeros((len(queries), 1))], axis=1) @ model.rotation).astype(np.float32)
+    v = (model.lifted(vectors) @ model.rotation).astype(np.float32)
+    n, at, limit = q.shape[1], np.arange(len(v)), None
+    partial, alive = np.zeros((len(q), len(v)), np.float32), None
+    for low, high in zip((0, *STOPS), (*STOPS, n)):
+        if low >= n:
+            break
+        high = min(high, n)
+        a, b = q[:, low:high], v[at, low:high]
+        partial += (a**2).sum(axis=1)[:, None] + ((b**2).sum(axis=1) - 2 * (a @ b.T))
+        if limit is None:  # the k-th of the candidates that look nearest so far
+            pilot = min(len(v), 2 * k)
+            near = np.argpartition(partial, pilot - 1, axis=1)[:, :pilot]
+            far = ((v[near] - q[:, None, :]) ** 2).sum(axis=2)
+            limit = np.partition(far, min(k, pilot) - 1, axis=1)[:, min(k, pilot) - 1]
+            limit = (np.minimum(limit, bound) + 1e-4).astype(np.float32)
+        test = (1 + DEVIATIONS / high**0.5) ** 2 * high / n if high < n else 1.0
+        alive = partial <= (limit * np.float32(test))[:, None] if alive is None else alive & (partial <= (limit * np.float32(test))[:, None])
+        if not (held := alive.any(axis=0)).all():  # abandoned by every query here
+            at, partial, alive = at[held], partial[:, held], alive[:, held]
+    rows, columns = np.nonzero(alive)
+    return rows, at[columns]
 
 
 def met(load: Callable[[], Lists], k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """A group's vectors and queries to the k best of each query in it."""
 
     def group(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        own, found, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(vectors) and len(queries):
-            v, q = np.array(vectors["embedding"].tolist(), np.float64), np.array(queries["embedding"].tolist(), np.float64)
-            ids = vectors["vec_id"].to_numpy()
-            for i, at in enumerate(scan(q, v, load(), k + 1)):
-                own = int(queries["vec_id"].iloc[i])
-                at = at[ids[at] != own]
-                score = (v[at] * q[i]).sum(axis=1)
-                best = np.lexsort((ids[at], -score))[:k]
-                out += [(own, int(ids[at[j]]), float(score[j])) for j in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            v, q = np.stack(vectors["embedding"].to_numpy()).astype(np.float64), np.stack(queries["embedding"].to_numpy()).astype(np.float64)
+            rows, columns = scan(q, v, queries["bound"].to_numpy(), load(), k + 1)
+            own, found = queries["vec_id"].to_numpy()[rows], vectors["vec_id"].to_numpy()[columns]
+            score = (q[rows] * v[columns]).sum(axis=1)
+            order = np.lexsort((found, -score, rows))
+            order = order[(own != found)[order]]
+            rows = rows[order]
+            starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+            place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows)))) if len(rows) else rows
+            order = order[place < k]
+            own, found, score = own[order], found[order], score[order]
+        return pd.DataFrame({"query_id": own, "vec_id": found, "score": score})
 
     return group
 
@@ -188,14 +203,26 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     lists = stored(rows.select("vec_id", "embedding").mapInArrow(assigned(load), "vec_id long, embedding array<double>, list int"), "ann-lists")
     sizes = {r["list"]: r["count"] for r in lists.groupBy("list").count().collect()}
-    probes = stored(queries.select("vec_id", "embedding").mapInArrow(probing(load, sizes, k), "vec_id long, embedding array<double>, list int"), "ann-probes")
+    probes = stored(queries.select("vec_id", "embedding").mapInArrow(probing(load, sizes, k), "vec_id long, embedding array<double>, list int, bound double"), "ann-probes")
+    first = stored(ranked(lists, probes, sizes, load, k), "ann-first")
+    # The bound counts vectors of lists that a query does not probe: queries left with fewer than k look again without it.
+    enough = first.filter(F.col("rank") == min(k, max(1, count - 1))).select("query_id")
+    short = probes.join(enough, probes["vec_id"] == enough["query_id"], "left_anti").withColumn("bound", F.lit(float("inf")))
+    again = stored(ranked(lists, stored(short, "ann-short"), sizes, load, k), "ann-again")
+    return first.join(enough, "query_id", "left_semi").unionByName(again).select("query_id", "rank", "vec_id", "score")
+
+
+def ranked(lists: DataFrame, probes: DataFrame, sizes: dict[int, int], load: Callable[[], Lists], k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best of each query in the lists that it probes."""
     asked = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}
-    parts = spark.createDataFrame([(i, -(-n // GROUP), -(-asked.get(i, 0) // GROUP)) for i, n in sizes.items()], "list int, v_parts int, q_parts int")
+    if not asked:
+        return lists.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    parts = lists.sparkSession.createDataFrame([(i, -(-n // GROUP), -(-asked.get(i, 0) // GROUP)) for i, n in sizes.items()], "list int, v_parts int, q_parts int")
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
         """Rows with their part of the list, once for each part of the other side; one row per list is broadcast."""
         df = df.join(F.broadcast(parts), "list").filter(f"{other} > 0").withColumn(own[0], F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int"))
-        return df.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("list", "v", "q", "vec_id", "embedding")
+        return df.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("v_parts", "q_parts")
 
     keys = ["list", "v", "q"]
     best = dealt(lists, "v_parts", "q_parts").groupBy(*keys).cogroup(dealt(probes, "q_parts", "v_parts").groupBy(*keys))

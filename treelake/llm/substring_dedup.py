@@ -5,7 +5,7 @@ with the smallest digest: equal windows choose equal grams, at the same place, s
 group, and neighbouring windows share their gram. Groups seen at one place only cannot repeat and are left out. Groups that fit
 in memory are gathered, and their windows sorted into the group's subtree, cut at depth WINDOW: its internal nodes there
 are the repeated windows. Groups with more than GROUP places are split by a longer prefix, the whole window, where the
-node is known from the smallest and largest place alone and nothing is gathered. The union of repeated windows is the
+node is known from the smallest and largest context alone and nothing is gathered. The union of repeated windows is the
 union of the maximal repeats of at least WINDOW words, the same document included.
 
 Equal texts are one content with several rows: their windows repeat by that alone, and count once against others.
@@ -176,15 +176,15 @@ def subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def leaf_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of large groups to one row per window: (node, gram, ka, kb, first)."""
+    """Contexts of large groups to one row per window: (node, gram, context, place, copied)."""
     for batch in batches:
         windows = batch["windows"].to_pylist()
         counts = np.array([len(w) // 8 for w in windows], dtype=np.int64)
         row = np.repeat(np.arange(len(windows)), counts)
         place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
         leaves = np.frombuffer(b"".join(windows), np.int64)
-        of = lambda c: batch[c].to_numpy()[row]
-        yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(of("gram")), pa.array(of("ka")), pa.array(of("kb")), pa.array((of("first") + place).astype("i4"))], ["node", "gram", "ka", "kb", "first"])
+        of = lambda c: batch[c].take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([pa.array(leaves), of("gram"), of("context"), pa.array(place.astype("i4")), of("copied")], ["node", "gram", "context", "place", "copied"])
 
 
 def kept_words(text: str | None, marks: list[dict] | None, copied: bool) -> tuple[list[bytes], int]:
@@ -206,6 +206,24 @@ def kept_words(text: str | None, marks: list[dict] | None, copied: bool) -> tupl
     return [w for w, g in zip(words, gone.tolist()) if not g], len(words)
 
 
+def split_groups(runs: DataFrame) -> DataFrame:
+    """(ka, kb, first, mask) of runs of large groups. Runs with equal windows are one context: its windows repeat if it
+    stands at two places; else a window repeats if another context has it too."""
+    runs = runs.withColumn("context", F.xxhash64("gram", "windows"))
+    place = F.xxhash64("ka", "kb", "first")
+    contexts = runs.groupBy("gram", "context").agg(F.first("windows").alias("windows"), (F.min(place) != F.max(place)).alias("copied"))
+    contexts = stored(contexts, "substring-contexts")
+    leaves = stored(contexts.mapInArrow(leaf_rows, "node long, gram long, context long, place int, copied boolean"), "substring-leaves")
+    leaves = leaves.withColumn("node", F.xxhash64("node", "gram"))
+    nodes = leaves.groupBy("node").agg((F.min("context") != F.max("context")).alias("internal")).filter("internal").select("node")
+    hit = leaves.filter("not copied").join(stored(nodes, "substring-nodes"), "node")
+    masks = hit.groupBy("gram", "context").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
+    whole = contexts.filter("copied").select("gram", "context", F.lit((1 << (WINDOW - GRAM + 1)) - 1).cast("long").alias("mask"))
+    masks = stored(masks.unionByName(whole), "substring-masks")
+    out = runs.select("gram", "context", "ka", "kb", "first", F.expr("octet_length(windows) div 8").alias("count")).join(masks, ["gram", "context"])
+    return out.select("ka", "kb", "first", F.col("mask").bitwiseAND(F.expr("shiftleft(1L, cast(count as int)) - 1")).alias("mask")).distinct()
+
+
 def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """ka, kb, copied, marks of every content with repeated windows: marks are (first, mask) of runs of windows."""
     rows = docs.select("ka", "kb", "doc_id", "text")
@@ -222,10 +240,7 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     small = runs.filter("not large")
     parts = max(1, -(-small.count() // TASK_ROWS))
     found = small.repartition(parts, "gram").mapInArrow(subtree_rows, "ka long, kb long, first int, mask long")
-    leaves = runs.filter("large").mapInArrow(leaf_rows, "node long, gram long, ka long, kb long, first int")
-    leaves = stored(leaves.select(F.xxhash64("node", "gram").alias("node"), "ka", "kb", "first"), "substring-leaves")
-    nodes = leaves.groupBy("node").agg((F.min(place) != F.max(place)).alias("internal")).filter("internal").select("node")
-    found = found.unionByName(leaves.join(stored(nodes, "substring-nodes"), "node").select("ka", "kb", "first", F.lit(1).cast("long").alias("mask")))
+    found = found.unionByName(split_groups(runs.filter("large").drop("large")))
     found = found.groupBy("ka", "kb").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
     copied = contents.filter("rows > 1").select("ka", "kb", F.lit(True).alias("copied"))
     both = found.join(copied, ["ka", "kb"], "full")
