@@ -45,3 +45,10 @@ def normalised(text: Column) -> Column:
 def rows_about(df: DataFrame, per_task: int) -> int:
     """A number of partitions for at most about per_task rows each, from a count of df."""
     return max(1, -(-df.count() // per_task))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelake.llm.common import normalised, stored, table
+from treelake.llm.common import fresh, normalised, stored, table
 
 #: Bits of the fixed-size filter in front of byte verification: 1024 rows of 4 KiB, whatever the input.
 FILTER_BITS = 25
@@ -105,7 +105,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = docs.join(chosen, (sha == chosen["kept_sha"]) & docs["doc_id"].eqNullSafe(chosen["kept_id"]), "left_semi")
     if kept.filter("count > 1").isEmpty():
         return rows
-    return rows.withColumn("kept_sha", F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["doc_id", "kept_sha"]).drop("kept_sha")
+    name = fresh(docs, "kept_sha")
+    return rows.withColumn(name, F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["doc_id", name]).drop(name)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treelake.llm.common import WORD, stored, table
+from treelake.llm.common import WORD, fresh, stored, table
 
 #: Blocks of a source, and sub-blocks of a block.
 BLOCKS = 256
@@ -164,11 +164,16 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = 64) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 7, shards: int = 64) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with shard and place: order by them within a shard."""
+    """The rows of docs, each as often as the mix takes it, with shard and place: order by them within a shard.
+
+    Where docs has a shard or place of its own, that stays and ours gets underscores behind its name.
+    """
     plan = mix(docs, seed, shards).filter("times > 0").select("doc_id", "at", F.posexplode("shards").alias("copy", "shard"))
     plan = plan.dropDuplicates(["doc_id", "at", "copy"]).withColumn("place", F.xxhash64(F.lit(seed), "at", "copy"))
-    plan = plan.withColumnsRenamed({"doc_id": "its_id", "at": "its_place"})
-    return docs.join(plan, (permuted(seed) == F.col("its_place")) & docs["doc_id"].eqNullSafe(F.col("its_id"))).drop("its_id", "its_place")
+    names = {c: fresh(docs, n) for c, n in {"doc_id": "its_id", "at": "its_place", "shard": "shard", "place": "place"}.items()}
+    plan = plan.drop("copy").withColumnsRenamed(names)
+    same = (permuted(seed) == F.col(names["at"])) & docs["doc_id"].eqNullSafe(F.col(names["doc_id"]))
+    return docs.join(plan, same).drop(names["doc_id"], names["at"])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
