@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,21 +113,23 @@ def balanced(children: DataFrame, limit: int, least: int) -> DataFrame:
 
 
 def cut_points(data: bytes, least: int, average: int, most: int) -> list[int]:
-    """Ends of content-defined chunks: a rolling 32-bit exclusive or, tested from the least size on, in wrapping arithmetic."""
-    cuts, last, n = [], 0, len(data)
-    threshold = (2**32 - 1) // average
+    """Ends of content-defined chunks: a rolling 32-bit exclusive or, tested from the least size on, in wrapping arithmetic.
+
+    With a least size of 32 or more the rolling value depends on the last 32 bytes alone, so all places are tested at once.
+    """
+    if least < 32:
+        raise ValueError("the least size of a chunk is 32 bytes or more")
+    n = len(data)
+    values, rolling = np.frombuffer(data, np.uint8).astype(np.uint32), np.zeros(n, np.uint32)
+    for k in range(min(32, n)):
+        rolling[k:] ^= values[: n - k] << np.uint32(k)
+    difference = rolling.view(np.int32) - np.int32(2**31 - 1)
+    ends = np.flatnonzero(np.abs(difference.astype(np.int64)) < (2**32 - 1) // average) + 1
+    cuts, last = [], 0
     while last < n:
-        x, cut = 0, min(last + most, n)
-        for i in range(max(last, last + least - 32), min(last + most, n)):
-            x = ((x << 1) ^ data[i]) & 0xFFFFFFFF
-            if i + 1 - last >= least:
-                signed = x - 2**32 if x >= 2**31 else x
-                difference = (signed - (2**31 - 1) + 2**31) % 2**32 - 2**31
-                if abs(difference) < threshold and i + 1 < n:
-                    cut = i + 1
-                    break
-        cuts.append(cut)
-        last = cut
+        at = int(np.searchsorted(ends, last + least))
+        last = min(int(ends[at]) if at < len(ends) else n, last + most, n)
+        cuts.append(last)
     return cuts
 
 
