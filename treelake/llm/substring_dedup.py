@@ -217,10 +217,12 @@ def split_groups(runs: DataFrame) -> DataFrame:
     leaves = leaves.withColumn("node", F.xxhash64("node", "gram"))
     nodes = leaves.groupBy("node").agg((F.min("context") != F.max("context")).alias("internal")).filter("internal").select("node")
     hit = leaves.filter("not copied").join(stored(nodes, "substring-nodes"), "node")
-    masks = hit.groupBy("gram", "context").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
-    whole = contexts.filter("copied").select("gram", "context", F.lit((1 << (WINDOW - GRAM + 1)) - 1).cast("long").alias("mask"))
-    masks = stored(masks.unionByName(whole), "substring-masks")
-    out = runs.select("gram", "context", "ka", "kb", "first", F.expr("octet_length(windows) div 8").alias("count")).join(masks, ["gram", "context"])
+    masks = stored(hit.groupBy("gram", "context").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask")), "substring-masks")
+    places = runs.select("gram", "context", "ka", "kb", "first", F.expr("octet_length(windows) div 8").alias("count"))
+    copied = stored(contexts.filter("copied").select("gram", "context"), "substring-copied")
+    whole = places.join(copied, ["gram", "context"], "left_semi").withColumn("mask", F.lit(-1).cast("long"))
+    single = places.join(masks, ["gram", "context"])  # contexts at one place each
+    out = whole.unionByName(single)
     return out.select("ka", "kb", "first", F.col("mask").bitwiseAND(F.expr("shiftleft(1L, cast(count as int)) - 1")).alias("mask")).distinct()
 
 
