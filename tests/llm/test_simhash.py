@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 from brute import components, documents, near, ordered
+from brute import simhash as simhash_of
 
 from treelake.llm import simhash
 from treelake.llm.components import connected_components
@@ -28,6 +29,14 @@ def test_odd_rows(spark):
     assert ordered((r["doc_id"],) for r in kept.collect()) == ordered((i,) for i in ids)
 
 
+def test_keep_first_keeps_one_row_of_every_component(spark):
+    texts = ["red apples fall from old trees in autumn", "seven ships left the harbour before dawn broke", "quiet engines hum under the long steel bridge", "no one answered the letter about the lost dog"]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (None, texts[3])]
+    assert len(set(components([simhash_of(t) for t in texts]).values())) == 4
+    kept = simhash.keep_first(documents(spark, [(i, t, "en", "a") for i, t in rows]))
+    assert ordered((r["doc_id"], r["text"]) for r in kept.collect()) == ordered(set(rows[:5]))
+
+
 def test_golay_code_is_perfect():
     words = np.arange(1 << 12, dtype=np.int64) << 11
     codewords = words ^ simhash.syndrome(words)

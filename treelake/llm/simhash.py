@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelake.llm.common import stored, table
+from treelake.llm.common import fresh, stored, table
 from treelake.llm.components import connected_components
 
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
@@ -236,26 +236,35 @@ def links(fps: DataFrame, bits: int = 3, owners: int = OWNERS) -> DataFrame:
     return found if more is None else found.unionByName(more)
 
 
-def near_dedup(docs: DataFrame, bits: int = 3, owners: int = OWNERS) -> DataFrame:
-    """doc_id, text_key (digest of the text), fingerprint, component_id of every row."""
+def rooted(docs: DataFrame, bits: int = 3, owners: int = OWNERS) -> DataFrame:
+    """doc_id, text_key (digest of the text), fingerprint, component_id and root of every row; root, a fingerprint, names the component."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     prints = stored(rows.mapInArrow(fingerprint_rows, "doc_id long, text_key long, fp long"), "simhash-prints")
     first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = connected_components(links(first.select("fp"), bits, owners)).withColumnRenamed("node", "fp")
     named = stored(first.join(roots, "fp"), "simhash-named")
     least = stored(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
-    linked = stored(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-linked")
-    ids = stored(first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "simhash-ids")
-    return prints.join(ids, "fp").select("doc_id", "text_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    linked = stored(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "simhash-linked")
+    ids = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return prints.join(stored(ids, "simhash-ids"), "fp").select("doc_id", "text_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
+
+
+def near_dedup(docs: DataFrame, bits: int = 3, owners: int = OWNERS) -> DataFrame:
+    """doc_id, text_key (digest of the text), fingerprint, component_id of every row."""
+    return rooted(docs, bits, owners).drop("root")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component, with the columns of docs: that with the smallest doc_id."""
-    kept = near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = stored(kept.groupBy("component_id").agg(F.min("text_key").alias("kept_key"), F.count("*").alias("rows")), "simhash-kept")
-    same = (F.xxhash64(docs["text"]) == kept["kept_key"]) & docs["doc_id"].eqNullSafe(kept["component_id"])
-    rows = docs.join(kept.select("kept_key", "component_id"), same, "left_semi")
-    return rows if kept.filter("rows > 1").isEmpty() else rows.dropDuplicates(["doc_id"])
+    """One row of each component, with the columns of docs: that with the smallest doc_id, and of one id the smallest digest."""
+    rows = rooted(docs).groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "rows")).alias("least")
+    kept = stored(rows.groupBy("root").agg(least).select(F.col("least.doc_id").alias("kept_id"), F.col("least.text_key").alias("kept_key"), F.col("least.rows").alias("rows")), "simhash-kept")
+    same = (F.xxhash64(docs["text"]) == kept["kept_key"]) & docs["doc_id"].eqNullSafe(kept["kept_id"])
+    found = docs.join(kept.select("kept_key", "kept_id"), same, "left_semi")
+    if kept.filter("rows > 1").isEmpty():
+        return found
+    name = fresh(docs, "kept_key")
+    return found.withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
