@@ -28,6 +28,16 @@ def test_marked_articles():
     assert text("<div class=cookie-notice>c</div><div class='post-content'><p>yes</p><form><input>no</form></div>") == "yes"
 
 
+def test_left_out_end_tags_end_dropped_elements():
+    assert text("<article><p class=ad>x<p>y</article>") == "y"
+    assert text("<article><p class=notice>x<h2>y</h2>z<ul><li class=share>s<li>t</ul>u</article>") == "y\n\nz\n\nt\n\nu"
+    assert text("<article><table><tr><td class=ad>a<td>b<tr class=promo><td>c<tr><td>d</table>e</article>") == "b\n\nd\n\ne"
+    assert text("<article><dl><dt class=ad>a<dd>b<dd class=ad>c</dl>d<div><span class=ad>x</div>y</article>") == "b\n\nd\n\ny"
+    assert text("<article><div class=ad><ul><li>x<li>y</ul>z<p>p</div>kept <b>bold<p>more</b> text</article>") == "kept bold\n\nmore text"
+    assert text("<article><ul><li class=ad>x<ul><li>inner</ul>still ad<li>y</ul><p>z</article><p>after") == "y\n\nz"
+    assert text("<head><title>t</title><article><p>x</article>") == "x"
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'k' AS key", "'h' AS host", "'t' AS tokens", "'c' AS covered", "'x' AS text")
 

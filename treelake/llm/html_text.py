@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,6 +49,19 @@ OTHER_WORDS = frozenset(
 READER_WORDS = frozenset("comment comments disqus reply replies respond discussion related recommended recommendations".split())
 CONTENT_WORDS = frozenset("article articlebody articlecontent content maincontent pagecontent post postbody postcontent entry entrycontent story storybody".split())
 PLAIN = frozenset("article main body html h1 h2 h3 h4 h5 h6".split())
+#: Fixed values of HTML's tree rules: what an element's start tag ends if open, and what that search does not pass.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+IN_TABLE = frozenset("caption tbody td tfoot th thead tr".split())
+IN_HEAD = frozenset("base head link meta noscript script style template title".split())
+NO_P_END = IN_TABLE | frozenset("body head html legend optgroup option".split())
+ENDED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "caption"}, "option": {"option"}, "optgroup": {"optgroup", "option"}}
+ENDED |= {n: {"tbody", "thead", "tfoot", "caption"} for n in ("tbody", "thead", "tfoot")}
+CELLS = frozenset("button caption table td th".split())
+LIMITS = {"li": CELLS | {"ul", "ol", "menu"}, "dt": CELLS | {"dl"}, "dd": CELLS | {"dl"}} | {n: frozenset(["table"]) for n in IN_TABLE}
+#: End tags that end their element through open tables too.
+SECTIONS = frozenset("article aside body footer head header html main nav section table".split())
+#: Parts of an open element: none, a dropped region that an article may end, one of readers' words, a marked container.
+NOTHING, REGION, READERS, MARKED = range(4)
 
 
 @dataclass
@@ -65,16 +79,80 @@ def words_of(value: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w]
 
 
+class Open:
+    """The open elements of a page, ended as HTML's tree rules do where end tags are left out, and counts of their parts."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.names: Counter[str] = Counter()
+        self.parts = [0, 0, 0, 0]
+
+    def push(self, name: str, part: int) -> None:
+        self.stack.append((name, part))
+        self.names[name] += 1
+        self.parts[part] += 1
+
+    def forget(self, at: int) -> None:
+        name, part = self.stack.pop(at)
+        self.names[name] -= 1
+        self.parts[part] -= 1
+
+    def end(self, ended: Collection[str], limits: Collection[str] = (), alone: bool = False) -> None:
+        """End the nearest open element named among ended, with all inside it unless alone, if limits do not enclose more."""
+        for at in range(len(self.stack) - 1, -1, -1):
+            name = self.stack[at][0]
+            if name in ended:
+                if alone:
+                    self.forget(at)
+                else:
+                    while len(self.stack) > at:
+                        self.forget(-1)
+                return
+            if name in limits:
+                return
+
+    def before(self, name: str) -> None:
+        """End what a start tag ends."""
+        if self.names.get("head") and name not in IN_HEAD:
+            self.end(("head",))
+        if self.names.get("p") and name in BLOCKS and name not in NO_P_END:
+            self.end(("p",), CELLS)
+        if name in ENDED:
+            if any(map(self.names.get, ENDED[name])):
+                self.end(ENDED[name], LIMITS.get(name, CELLS))
+        elif name in HEADINGS and self.stack and self.stack[-1][0] in HEADINGS:
+            self.forget(-1)
+
+    def after(self, name: str) -> None:
+        """End what an end tag ends."""
+        if name in HEADINGS:
+            self.end(HEADINGS, CELLS)
+        elif not self.names.get(name):
+            return
+        elif name in BLOCKS:
+            self.end((name,), () if name in SECTIONS else LIMITS.get(name, CELLS))
+        else:
+            self.end((name,), alone=True)
+
+    def reopen(self) -> None:
+        """Dropped regions that an article may end are dropped no more."""
+        self.stack = [(n, NOTHING if p == REGION else p) for n, p in self.stack]
+        self.parts[NOTHING] += self.parts[REGION]
+        self.parts[REGION] = 0
+
+    @property
+    def dropped(self) -> bool:
+        return self.parts[REGION] + self.parts[READERS] > 0
+
+
 def read_page(source: str) -> Page:
-    page, pieces = Page(), []
-    regions: list[list] = []  # open dropped elements: [name, depth, may an article open inside]
-    articles: list[list] = []  # open marked containers: [name, depth]
+    page, pieces, open_ = Page(), [], Open()
 
     def flush() -> None:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                page.blocks.append((text, bool(articles) and not regions, not regions))
+                page.blocks.append((text, open_.parts[MARKED] > 0 and not open_.dropped, not open_.dropped))
             pieces.clear()
 
     at, end = 0, len(source)
@@ -91,11 +169,7 @@ def read_page(source: str) -> Page:
             close = close.lower()
             if close in BLOCKS:
                 flush()
-            for stack in (regions, articles):
-                if stack and stack[-1][0] == close:
-                    stack[-1][1] -= 1
-                    if not stack[-1][1]:
-                        stack.pop()
+            open_.after(close)
             continue
         if not name:
             continue
@@ -110,28 +184,25 @@ def read_page(source: str) -> Page:
             continue
         if name in BLOCKS:
             flush()
-        if name == "body":
-            regions[:] = [r for r in regions if r[0] != "head"]
-        if name in VOID:
+        open_.before(name)
+        if name in VOID or (name in RAW and name != "title"):
             continue
-        for stack in (regions, articles):
-            if stack and stack[-1][0] == name:
-                stack[-1][1] += 1
+        part = NOTHING
         said = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)} if rest and "=" in rest else {}
         names = [words_of(n) for k in ("class", "id", "role") if k in said for n in said[k].split()]
         labels = {w for n in names for w in n}
         if name in ("article", "main") and not labels & READER_WORDS:
-            if regions and all(r[2] for r in regions):
-                regions.clear()
-            if not regions and not articles:
-                articles.append([name, 1])
-                page.marked = True
+            if not open_.parts[READERS]:
+                open_.reopen()
+            if not open_.dropped and not open_.parts[MARKED]:
+                part = MARKED
         elif (name in DROPPED or (labels & OTHER_WORDS and name not in PLAIN) or labels & READER_WORDS or said.get("aria-hidden") == "true" or "display:none" in said.get("style", "").replace(" ", "") or re.search(r"\bhidden\b", ATTRIBUTE.sub("", rest or ""))) and name not in ("body", "html"):
-            if not (name == "header" and articles) and not (name in DROPPED and regions and regions[-1][0] == name):
-                regions.append([name, 1, not labels & READER_WORDS])
-        elif name in ("div", "section") and not articles and not regions and any("".join(n) in CONTENT_WORDS for n in names):
-            articles.append([name, 1])
-            page.marked = True
+            if not (name == "header" and open_.parts[MARKED]):
+                part = READERS if labels & READER_WORDS else REGION
+        elif name in ("div", "section") and not open_.parts[MARKED] and not open_.dropped and any("".join(n) in CONTENT_WORDS for n in names):
+            part = MARKED
+        page.marked |= part == MARKED
+        open_.push(name, part)
     flush()
     return page
 
