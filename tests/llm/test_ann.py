@@ -58,3 +58,21 @@ def test_many_equal_vectors(spark):
     wanted, found = brute(np.arange(3000), x.astype(np.float64)), gathered(ann.search(df))
     assert all(len(found[q]) == 20 for q in wanted)
     assert recall(found, wanted) > 0.9
+
+
+def test_small_tables_give_all_candidates(spark):
+    x = np.random.default_rng(2).normal(size=(21, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    wanted, found = brute(np.arange(len(x)), x, 1), gathered(ann.search(df, 1))
+    assert {q: [v for v, _ in w] for q, w in found.items()} == {q: [v for v, _ in w] for q, w in wanted.items()}
+
+
+def test_recall_of_the_lists_on_clusters(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(80, 64))[rng.integers(0, 80, 8000)] + rng.normal(size=(8000, 64)) * 0.6).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    wanted, found = brute(np.arange(8000), x.astype(np.float64)), gathered(ann.search(df))
+    assert all(len(found[q]) == 20 for q in wanted)
+    print(f"recall on 8000 clustered vectors: {recall(found, wanted):.4f}")
+    assert recall(found, wanted) > 0.9

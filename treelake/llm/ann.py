@@ -156,14 +156,26 @@ def scan(queries: np.ndarray, vectors: np.ndarray, bound: np.ndarray, model: Lis
     return rows, at[columns]
 
 
-def met(load: Callable[[], Lists], k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """A group's vectors and queries to the k best of each query in it."""
+def best_of_all(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) of the k largest products of each query among all vectors but its own, and what rounding may have moved."""
+    product = queries @ vectors.T
+    slack = 1e-9 * (1 + np.abs(product).max())
+    product[own] = -np.inf
+    least = -np.partition(-product, min(k, len(vectors)) - 1, axis=1)[:, min(k, len(vectors)) - 1]
+    return np.nonzero((product >= least[:, None] - slack) & ~own)
+
+
+def met(load: Callable[[], Lists], k: int, whole: bool = False) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """A group's vectors and queries to the k best of each query in it, whole: without the scan's tests."""
 
     def group(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         own, found, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(vectors) and len(queries):
             v, q = np.stack(vectors["embedding"].to_numpy()).astype(np.float64), np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-            rows, columns = scan(q, v, queries["bound"].to_numpy(), load(), k + 1)
+            if whole:
+                rows, columns = best_of_all(q, v, queries["vec_id"].to_numpy()[:, None] == vectors["vec_id"].to_numpy(), k)
+            else:
+                rows, columns = scan(q, v, queries["bound"].to_numpy(), load(), k + 1)
             own, found = queries["vec_id"].to_numpy()[rows], vectors["vec_id"].to_numpy()[columns]
             score = (q[rows] * v[columns]).sum(axis=1)
             order = np.lexsort((found, -score, rows))
@@ -205,14 +217,14 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     sizes = {r["list"]: r["count"] for r in lists.groupBy("list").count().collect()}
     probes = stored(queries.select("vec_id", "embedding").mapInArrow(probing(load, sizes, k), "vec_id long, embedding array<double>, list int, bound double"), "ann-probes")
     first = stored(ranked(lists, probes, sizes, load, k), "ann-first")
-    # The bound counts vectors of lists that a query does not probe: queries left with fewer than k look again without it.
+    # Bound and tests may drop what is among the k best: queries left with fewer than k look again at all their lists hold.
     enough = first.filter(F.col("rank") == min(k, max(1, count - 1))).select("query_id")
-    short = probes.join(enough, probes["vec_id"] == enough["query_id"], "left_anti").withColumn("bound", F.lit(float("inf")))
-    again = stored(ranked(lists, stored(short, "ann-short"), sizes, load, k), "ann-again")
+    short = probes.join(enough, probes["vec_id"] == enough["query_id"], "left_anti")
+    again = stored(ranked(lists, stored(short, "ann-short"), sizes, load, k, True), "ann-again")
     return first.join(enough, "query_id", "left_semi").unionByName(again).select("query_id", "rank", "vec_id", "score")
 
 
-def ranked(lists: DataFrame, probes: DataFrame, sizes: dict[int, int], load: Callable[[], Lists], k: int) -> DataFrame:
+def ranked(lists: DataFrame, probes: DataFrame, sizes: dict[int, int], load: Callable[[], Lists], k: int, whole: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of each query in the lists that it probes."""
     asked = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}
     if not asked:
@@ -226,7 +238,7 @@ def ranked(lists: DataFrame, probes: DataFrame, sizes: dict[int, int], load: Cal
 
     keys = ["list", "v", "q"]
     best = dealt(lists, "v_parts", "q_parts").groupBy(*keys).cogroup(dealt(probes, "q_parts", "v_parts").groupBy(*keys))
-    best = best.applyInPandas(met(load, k), "query_id long, vec_id long, score double")
+    best = best.applyInPandas(met(load, k, whole), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
     return best.select("query_id", rank, "vec_id", "score").filter(F.col("rank") <= k)
 
