@@ -35,15 +35,16 @@ def test_random_texts_equal_the_library():
     alphabet = list("aabcdeeinrst  \n\t.,'0123456789-") + ["\x1c", "\x1f", "\x85", " ", " ", "　", "᠎", "​", "﻿", "é", "́", "你", "\U0001f600", "ก", "Ⅴ", "½", "'s", "'ll", " the", "<|endoftext|>", "\x00", "", "", "\x1e"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)]
     texts += ["a" * 1000, "ab" * 700, " " * 500, "\n" * 300 + "x", "th" * 400 + " the " * 300]
-    packed = own.encode(texts)
+    packed = list(own.encode(texts))
     wanted = library.encode_batch(texts, add_special_tokens=False)
     assert [ids(p) for p in packed] == [w.ids for w in wanted]
     assert [own.decode(p) for p in packed] == [library.decode(w.ids, skip_special_tokens=False) for w in wanted]
 
 
-def test_small_caches_change_nothing():
-    texts = ["some words here", "other words there", "some other text"] * 3
-    assert model(cache_size=1).encode(texts) == model().encode(texts)
+def test_small_caches_slices_and_spans_change_nothing():
+    texts = ["some words here", "other words there", "some  other text", "", "a b " * 50, "x" * 500] * 3
+    wanted = list(model().encode(texts))
+    assert list(model(remembered=1).encode(texts)) == list(model(slice_size=1).encode(texts)) == list(model(span=7).encode(texts)) == wanted
 
 
 def test_encode_then_decode(spark):

@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
-Each task gathers the words that its batch brings anew, lays their bytes out as one list of symbols, indexes every
-mergeable pair's positions by its rank, and applies the active ranks of each word in ascending order; each merge updates
-only the entries of the two neighbouring pairs. Documents are then put together from the words' ids.
+Each task reads its texts in slices of about SLICE bytes and gathers the words of pieces that a slice brings anew. Their bytes are
+one list of symbols; an index maps each mergeable pair, by its rank, to all its positions there. Active ranks are applied in
+ascending order, each at all its positions, and each merge enters only the pairs beside the new symbols into the lists of
+their ranks. Texts are then put together from the words' ids. What is remembered between slices is bounded in bytes.
 
 Defined results: a null text counts as empty and has no tokens; strings of added tokens in a text become their ids, as
-in the tokenizers library; very long texts are encoded whole; repeated rows and ties give equal rows; an empty table
-gives no rows; other columns of the input are ignored.
+in the tokenizers library; very long texts are encoded whole, span by span; repeated rows and ties give equal rows; an empty
+table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import struct
-from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -28,12 +27,14 @@ from treelake.llm.common import table
 
 #: Fixed value: the published splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words of more bytes are encoded through linked lists.
-LONG_WORD = 128
-#: The rank of pairs that do not merge.
-NEVER = 1 << 40
+#: Characters of texts encoded together, and of a span of a longer text.
+SLICE, SPAN = 4 << 20, 1 << 20
+#: Bytes of remembered pieces.
+REMEMBERED = 96 << 20
+#: Tokens decoded at once.
+TOKENS = 1 << 18
 #: Marks where a text is cut before its spaces; texts that hold it are cut another way.
-CUT = ""
+CUT = "\ue000"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -44,10 +45,35 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Numbered(dict):
+    """Numbers keys from 0 as they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+class Remembered:
+    """A mapping of bounded bytes: when the newer half is full, the older half is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.size, self.new, self.old = most // 2, 0, {}, {}
+
+    def known(self, keys: Iterable[str]) -> dict[str, bytes | None]:
+        new, old = self.new, self.old
+        return {k: new.get(k) or old.get(k) for k in keys}
+
+    def update(self, found: dict[str, bytes]) -> None:
+        self.new.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + 200 * len(found)
+        if self.size > self.most:
+            self.old, self.new, self.size = self.new, {}, 0
+
+
 class ByteBpe:
-    """A byte-level BPE vocabulary; words and cut pieces are remembered up to cache_size entries each."""
+    """A byte-level BPE vocabulary; pieces of texts are remembered up to so many bytes."""
 
-    def __init__(self, file: bytes, cache_size: int = 500_000):
+    def __init__(self, file: bytes, remembered: int = REMEMBERED, slice_size: int = SLICE, span: int = SPAN):
         said = json.loads(file)
         vocab, merges = said["model"]["vocab"], said["model"]["merges"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
@@ -58,131 +84,96 @@ class ByteBpe:
             self.bytes_of[i] = bytes(alphabet[c] for c in token)
         for token, i in self.added.items():
             self.bytes_of[i] = token.encode()
-        self.first = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
+        self.first_of = np.array([vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])])
         self.pairs = [(vocab[a], vocab[b]) for a, b in merges]
         self.made = [vocab[a + b] for a, b in merges]
-        self.rank = {a << 20 | b: r for r, (a, b) in reversed(list(enumerate(self.pairs)))}
-        self.first_of, self.made_of = np.array(self.first), np.array(self.made)
-        self.sorted_keys, self.sorted_ranks = (np.array(x) for x in zip(*sorted(self.rank.items()), (1 << 62, NEVER), strict=True))
+        rank = {a << 20 | b: r for r, (a, b) in reversed(list(enumerate(self.pairs)))}
+        self.sorted_keys, self.sorted_ranks = (np.array(x) for x in zip(*sorted(rank.items()), (1 << 62, len(merges)), strict=True))
         self.split_words = regex.compile(PATTERN).findall
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else None
         self.irregular = regex.compile(r"\s |^ |" + CUT).search
-        self.cache_size, self.words, self.pieces = cache_size, {}, {}
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Packed ids of each word."""
-        out = [b""] * len(words)
-        data = [w.encode() for w in words]
-        short = [i for i, d in enumerate(data) if len(d) <= LONG_WORD]
-        long = [i for i, d in enumerate(data) if len(d) > LONG_WORD]
-        for which, encode in ((short, self.encode_together), (long, self.encode_long)):
-            if which:
-                for i, ids in zip(which, encode([data[i] for i in which])):
-                    out[i] = ids
-        return out
+        self.safe = regex.compile(r"(?<=\S)(?<![\x1c-\x1f])(?= )").search
+        self.pieces, self.slice_size, self.span = Remembered(remembered), slice_size, span
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair of symbols, NEVER if it does not merge."""
+        """Rank of each pair of symbols; the number of merges if it does not merge. Word ends are negative symbols."""
         keys = left << 20 | right
         at = np.searchsorted(self.sorted_keys, keys)
-        return np.where(self.sorted_keys[at] == keys, self.sorted_ranks[at], NEVER)
+        return np.where((self.sorted_keys[at] == keys) & (left >= 0) & (right >= 0), self.sorted_ranks[at], len(self.made))
 
-    def encode_together(self, data: list[bytes]) -> list[bytes]:
-        """Words of moderate length, all at once: the index holds the rank of the pair at every position.
-
-        Words are independent, so each step applies the lowest active rank of every word at all its positions, and
-        looks up again only the pairs beside the new symbols.
-        """
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word, by the index of pair occurrences over all of them."""
+        data = [w.encode() for w in words]
         sizes = np.fromiter(map(len, data), np.int64, len(data))
-        symbols = self.first_of[np.frombuffer(b"".join(data), np.uint8)]
-        word = np.repeat(np.arange(len(data)), sizes)
-        rank = np.full(len(symbols), NEVER)
-        inside = np.flatnonzero(word[1:] == word[:-1])
-        rank[inside] = self.ranks(symbols[inside], symbols[inside + 1])
-        done = []
-        while len(symbols):
-            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            counts = np.diff(np.append(starts, len(word)))
-            lowest = np.repeat(np.minimum.reduceat(rank, starts), counts)
-            over = lowest == NEVER
-            if over.any():
-                done.append((word[over], symbols[over]))
-                go_on = ~over
-                symbols, word, rank, lowest = symbols[go_on], word[go_on], rank[go_on], lowest[go_on]
-                if not len(symbols):
-                    break
-            merge = rank == lowest
-            if (merge[1:] & merge[:-1]).any():  # of overlapping pairs every other one, from the left
-                place = np.arange(len(merge))
-                fresh = merge & ~np.concatenate(([False], merge[:-1]))
-                merge &= (place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0
-            symbols[merge] = self.made_of[rank[merge]]
-            stay = ~np.concatenate(([False], merge[:-1]))
-            symbols, word, rank, merge = symbols[stay], word[stay], rank[stay], merge[stay]
-            beside = np.flatnonzero(merge | np.concatenate((merge[1:], [False])))
-            rank[beside] = NEVER
-            beside = beside[beside + 1 < len(word)]
-            beside = beside[word[beside] == word[beside + 1]]
-            rank[beside] = self.ranks(symbols[beside], symbols[beside + 1])
-        word, symbols = (np.concatenate(x) for x in zip(*done))
-        packed = symbols[np.argsort(word, kind="stable")].astype("<u4").tobytes()
-        ends = np.cumsum(np.bincount(word, minlength=len(data))) * 4
-        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-    def encode_long(self, words: list[bytes]) -> list[bytes]:
-        """Very long words, from one index of each active rank's positions in linked lists of symbols."""
-        rank, pairs, made = self.rank.get, self.pairs, self.made
-        symbols, starts, first = [-1], [], self.first.__getitem__
-        for word in words:
-            starts.append(len(symbols))
-            symbols.extend(map(first, word))
-            symbols.append(-1)
-        after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
-        places: dict[int, list[int]] = defaultdict(list)
-        for i, (a, b) in enumerate(zip(symbols, symbols[1:])):
-            if a >= 0 <= b and (r := rank(a << 20 | b)) is not None:
-                places[r].append(i)
-        active = list(places)
+        starts = np.cumsum(sizes + 1) - sizes
+        symbols = np.full(int(sizes.sum()) + len(data) + 1, -1)
+        inside = np.ones(len(symbols), bool)
+        inside[0] = inside[starts + sizes] = False
+        symbols[inside] = self.first_of[np.frombuffer(b"".join(data), np.uint8)]
+        after, before = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        after[-1], never = len(symbols) - 1, len(self.made)
+        merged = np.zeros(len(symbols), bool)
+
+        # The index: positions of the first pairs by rank, and those that merges add.
+        rank = self.ranks(symbols[:-1], symbols[1:])
+        order = np.argsort(rank, kind="stable")
+        order = order[: np.searchsorted(rank[order], never)]
+        active, at = np.unique(rank[order], return_index=True)
+        places = dict(zip(active.tolist(), np.split(order, at[1:]))) if len(active) else {}
+        more: dict[int, list[int]] = {}
+        active = active.tolist()
         heapq.heapify(active)
         while active:
             now = heapq.heappop(active)
-            at = places.pop(now, ())
-            (a, b), new = pairs[now], made[now]
-            for i in sorted(at) if a == b else at:
-                j = after[i]
-                if symbols[i] != a or symbols[j] != b:
-                    continue
-                k, h = after[j], before[i]
-                symbols[i], symbols[j], after[i], before[k] = new, -2, k, i
-                if (x := symbols[h]) >= 0 and (r := rank(x << 20 | new)) is not None:
-                    if r not in places:
-                        heapq.heappush(active, r)
-                    places[r].append(h)
-                if (x := symbols[k]) >= 0 and (r := rank(new << 20 | x)) is not None:
+            i = places.pop(now, None)
+            if new := more.pop(now, None):
+                i = np.array(new) if i is None else np.concatenate((i, new))
+            (a, b), made = self.pairs[now], self.made[now]
+            j = after[i]
+            fits = (symbols[i] == a) & (symbols[j] == b)
+            if a == b:  # of overlapping pairs every other one, from the left
+                i = np.sort(i[fits])
+                i = np.array(every_other(i.tolist(), after[i].tolist()), np.int64)
+            else:
+                i = i[fits]
+            if not len(i):
+                continue
+            j = after[i]
+            k = after[j]
+            symbols[i], symbols[j], after[i], before[k] = made, -2, k, i
+            h = before[i]
+            merged[i] = True
+            alone = ~merged[k]  # else the pair is that on the left of the next merge
+            merged[i] = False
+            i, k = i[alone], k[alone]
+            where = np.concatenate((h, i))
+            found = self.ranks(symbols[where], np.concatenate((np.full(len(h), made), symbols[k])))
+            which = found < never
+            for r, place in zip(found[which].tolist(), where[which].tolist()):
+                if r in more:
+                    more[r].append(place)
+                else:
+                    more[r] = [place]
                     if r not in places:
                         heapq.heappush(active, r)
-                    places[r].append(i)
-        out = []
-        for i in starts:
-            ids = []
-            while (x := symbols[i]) != -1:
-                ids.append(x)
-                i = after[i]
-            out.append(struct.pack(f"<{len(ids)}I", *ids))
-        return out
+        live = symbols >= 0
+        packed = symbols[live].astype("<u4").tobytes()
+        ends = np.cumsum(live)[starts + sizes] * 4
+        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Make sure that the ids of all these pieces are remembered."""
-        if len(self.pieces) > self.cache_size:
-            self.pieces = {}
-        if len(self.words) > self.cache_size:
-            self.words = {}
-        split = {p: self.split_words(p) for p in pieces if p not in self.pieces}
-        new = list({w for words in split.values() for w in words if w not in self.words})
-        self.words.update(zip(new, self.encode_words(new)))
-        known = self.words
-        for piece, words in split.items():
-            self.pieces[piece] = b"".join([known[w] for w in words])
+    def learned(self, pieces: Iterable[str]) -> list[bytes]:
+        """Packed ids of each piece."""
+        out = self.pieces.known(pieces)
+        new = [p for p, ids in out.items() if not ids]
+        numbers, words, ends = Numbered(), [], []
+        for piece in new:
+            words.extend(map(numbers.__getitem__, self.split_words(piece)))
+            ends.append(len(words))
+        known = self.encode_words(list(numbers)).__getitem__
+        fresh = {p: b"".join(map(known, words[a:b])) for p, a, b in zip(new, [0, *ends], ends)}
+        self.pieces.update(fresh)
+        out.update(fresh)
+        return list(out.values())
 
     def cut(self, text: str) -> list[str]:
         """Pieces whose words are those of the text: cut before each space that follows no white space."""
@@ -190,26 +181,58 @@ class ByteBpe:
             return regex.split(r"(?<=\S)(?<![\x1c-\x1f])(?= )", text)
         return text.replace(" ", CUT + " ").split(CUT)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def spans(self, text: str) -> Iterator[str]:
+        """A text in spans of about equal length, cut where it may be."""
+        start = 0
+        while len(text) - start > self.span and (m := self.safe(text, start + self.span)):
+            yield text[start : m.start()]
+            start = m.start()
+        yield text[start:]
+
+    def numbered(self, text: str, numbers: Numbered) -> list[bytes | np.ndarray]:
+        """A text as packed ids of added tokens and numbers of its pieces."""
+        parts = self.split_added(text) if self.split_added and any(a in text for a in self.added) else [text]
+        out: list[bytes | np.ndarray] = []
+        for part in parts:
+            if part in self.added:
+                out.append(self.added[part].to_bytes(4, "little"))
+            elif part:
+                for span in self.spans(part):
+                    pieces = self.cut(span)
+                    out.append(np.fromiter(map(numbers.__getitem__, pieces), np.int32, len(pieces)))
+        return out
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = []
+        held, size, numbers = [], 0, Numbered()
+
+        def settle() -> Iterator[bytes]:
+            ids = self.learned(numbers).__getitem__
+            for text in held:
+                yield b"".join([part if isinstance(part, bytes) else b"".join(map(ids, part.tolist())) for part in text])
+
         for text in texts:
-            if self.split_added and any(a in text for a in self.added):
-                parts.append([x if x in self.added else self.cut(x) for x in self.split_added(text) if x])
-            else:
-                parts.append([self.cut(text)])
-        out: list[bytes] = []
-        for start in range(0, len(parts), 2000):
-            some = parts[start : start + 2000]
-            self.learn({p for text in some for part in text if isinstance(part, list) for p in part})
-            get = self.pieces.__getitem__
-            for text in some:
-                out.append(b"".join([self.added[x].to_bytes(4, "little") if isinstance(x, str) else b"".join(map(get, x)) for x in text]))
-        return out
+            held.append(self.numbered(text, numbers))
+            size += len(text)
+            if size >= self.slice_size:
+                yield from settle()
+                held, size, numbers = [], 0, Numbered()
+        yield from settle()
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids; bytes that are no UTF-8 become replacement characters."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        ids, get = np.frombuffer(ids, "<u4"), self.bytes_of.__getitem__
+        return b"".join([b"".join(map(get, ids[i : i + TOKENS].tolist())) for i in range(0, len(ids), TOKENS)]).decode("utf-8", "replace")
+
+
+def every_other(places: list[int], following: list[int]) -> list[int]:
+    """Of sorted places, those that no chosen place before them overlaps."""
+    out, taken = [], -1
+    for place, after in zip(places, following):
+        if place != taken:
+            out.append(place)
+            taken = after
+    return out
 
 
 _LOADED: dict[str, ByteBpe] = {}
@@ -230,8 +253,9 @@ def loader(spark: SparkSession, path: str) -> Callable[[], ByteBpe]:
     return load
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
+def texts_of(column: pa.Array) -> Iterator[str]:
+    for i in range(0, len(column), 64):
+        yield from (t or "" for t in column.slice(i, 64).to_pylist())
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -265,13 +289,8 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             model = load()
-            ids = model.encode(texts_of(batch["text"]))
-            columns = [
-                batch["doc_id"],
-                pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(model.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-            ]
+            found = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(model.decode(x).encode()).hexdigest()) for x in model.encode(texts_of(batch["text"]))]
+            columns = [batch["doc_id"], *(pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string())))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, DIGESTS)
