@@ -68,11 +68,12 @@ def test_small_tables_give_all_candidates(spark):
     assert {q: [v for v, _ in w] for q, w in found.items()} == {q: [v for v, _ in w] for q, w in wanted.items()}
 
 
-def test_recall_of_the_lists_on_clusters(spark):
+def test_recall_over_several_lists(spark):
     rng = np.random.default_rng(4)
-    x = (rng.normal(size=(80, 64))[rng.integers(0, 80, 8000)] + rng.normal(size=(8000, 64)) * 0.6).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    wanted, found = brute(np.arange(8000), x.astype(np.float64)), gathered(ann.search(df))
-    assert all(len(found[q]) == 20 for q in wanted)
-    print(f"recall on 8000 clustered vectors: {recall(found, wanted):.4f}")
-    assert recall(found, wanted) > 0.9
+    for x in (rng.normal(size=(80, 64))[rng.integers(0, 80, 20_000)] + rng.normal(size=(20_000, 64)) * 0.6, rng.normal(size=(20_000, 24))):
+        x = x.astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        wanted, found = brute(np.arange(20_000), x.astype(np.float64), 200), gathered(ann.search(df, 200))
+        assert all(len(found[q]) == 20 for q in wanted)
+        print(f"recall on 20000 vectors: {recall(found, wanted):.4f}")
+        assert recall(found, wanted) > 0.9
