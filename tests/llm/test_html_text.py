@@ -38,6 +38,65 @@ def test_left_out_end_tags_end_dropped_elements():
     assert text("<head><title>t</title><article><p>x</article>") == "x"
 
 
+def test_inline_parts_and_headlines():
+    assert text("<article><p>Hello <span class='share'>Share this</span> world</p></article>") == "Hello world"
+    assert text("<article><p>a <button>press</button><span hidden>no</span> b</p></article>") == "a b"
+    assert text("<article><div class='entry-header'><h1>Title</h1></div><p>x</p></article>") == "Title\n\nx"
+    assert text("<div class='site-header'>s</div><main><div class=header><h1>T</h1></div>x<div class=footer>f</div></main>") == "T\n\nx"
+
+
+def brute_text(rows):
+    """page_id to text of rows (page_id, url, html), run by run."""
+    read = {(html_text.host_of(u), h or ""): html_text.read_page(h or "") for _, u, h in rows}
+    out = {}
+    for page_id, url, h in rows:
+        host, me = html_text.host_of(url), read[html_text.host_of(url), h or ""]
+        others = [p for (o, _), p in read.items() if o == host]
+        runs = []
+        for p in others:
+            tokens = [(w, i) for t, i in p.blocks for w in [*t.split(), None]]
+            spans = [tokens[k : k + 8] for k in range(len(tokens) - 7)]
+            runs.append(({tuple(w for w, _ in x) for x in spans}, {tuple(w for w, _ in x) for x in spans if all(i for _, i in x)}))
+        tokens = [(w, i) for t, i in me.blocks for w in [*t.split(), None]]
+        gone = set()
+        for k in range(len(tokens) - 7):
+            run, inside = tuple(w for w, _ in tokens[k : k + 8]), all(i for _, i in tokens[k : k + 8])
+            if me.marked and inside and sum(run in a for _, a in runs) >= max(4, sum(p.marked for p in others) / 2) or not me.marked and sum(run in a for a, _ in runs) > 1:
+                gone.update(range(k, k + 8))
+        at, kept = 0, []
+        for t, i in me.blocks:
+            n = len(t.split())
+            if (i or not me.marked) and not gone.issuperset(range(at, at + n)):
+                kept.append(t)
+            at += n + 1
+        out.setdefault(page_id, set()).add("\n\n".join(kept))
+    return out
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    wanted = brute_text(rows)
+    for most in (html_text.HOST_TOKENS, 100):
+        assert all(r["text"] in wanted[r["page_id"]] for r in html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), most).collect())
+
+
+def test_random_hosts_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(1, 14))) for _ in range(14)]
+    notice = "We use this notice on every page of the whole site for all readers"
+    rows = []
+    for i in range(60):
+        some = "".join(f"<p>{lines[j]}</p>" for j in rng.integers(0, 14, 5)) + f"<p>own words {i} of page {i} are here {i}</p>"
+        body = f"<article>{some}<p>{notice}</p></article><div>{lines[0]}</div>" if rng.random() < 0.6 else f"<div>{some}</div>{notice}"
+        rows.append((i, f"http://h{i % 5}/{i}", f"<nav>menu</nav>{body}"))
+    rows += [(100, "http://h0/x", rows[1][2]), (101, "http://h1/y", rows[1][2]), (102, "http://h2/z", None)]
+    wanted = brute_text(rows)
+    for most in (html_text.HOST_TOKENS, 10):
+        found = {r["page_id"]: {r["text"]} for r in html_text.main_text(pages(spark, rows), most).collect()}
+        assert found == wanted
+    assert not any(notice in t for i, ts in wanted.items() for t in ts if i < 60)
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'k' AS key", "'h' AS host", "'t' AS tokens", "'c' AS covered", "'x' AS text")
 
@@ -45,7 +104,7 @@ def pages(spark, rows):
 def test_shared_runs_of_a_host_go(spark):
     shell = "All rights reserved by the owners of this very site since long ago"
     rows = [(i, f"https://h.example/{i}", f"<body><p>{shell}</p><p>Unique words of page number {i} stand here alone {i * 7}</p></body>") for i in range(6)]
-    for most in (1500, 2):
+    for most in (html_text.HOST_TOKENS, 10):
         found = {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows), most).collect()}
         assert found == {i: f"Unique words of page number {i} stand here alone {i * 7}" for i in range(6)}
 
@@ -57,16 +116,3 @@ def test_odd_rows(spark):
     assert len(found) == len(rows) and by[1] == by[2] == "" and by[3] == "x" and by[None] == "plain text" and by[6] == "unclosed"
     assert by[4].count("\n\n") == 19_999
     assert html_text.main_text(pages(spark, [])).count() == 0
-
-
-def test_shared_runs_equal_brute_force():
-    rng = np.random.default_rng(1)
-    streams = [rng.integers(0, 3, rng.integers(0, 40)) for _ in range(30)]
-    found = html_text.shared_runs(streams)
-    for i, s in enumerate(streams):
-        others = {tuple(o[k : k + 8]) for j, o in enumerate(streams) if j != i for k in range(len(o) - 7)}
-        wanted = np.zeros(len(s), bool)
-        for k in range(len(s) - 7):
-            if tuple(s[k : k + 8]) in others:
-                wanted[k : k + 8] = True
-        assert (found[i] == wanted).all()

@@ -1,12 +1,16 @@
-"""Main text of web pages, with a suffix array of each host's text outside articles.
+"""Main text of web pages, with a suffix array of each host's token streams.
 
-Markup is read block by block. Where a page marks its article (article, main, or a container named as content), the
-blocks inside it are the main text, without menus, headers, footers, sidebars, notices, adverts, forms and comments.
-Text outside goes into the host's token stream; its suffix array gives the token runs of at least RUN words that distinct
-pages share. Where a page marks no article, blocks that such runs cover whole are removed; the others are unique and stay.
+Pages are read once, block by block: markup tells the blocks of the article (article, main, or a container named as
+content) and drops menus, headers, footers, sidebars, notices, adverts, forms and comments, inside lines too. All other
+blocks of a host's distinct pages go into one token stream; its suffix array gives the runs of at least RUN tokens that
+distinct pages share, and how many share them. A block that shared runs cover whole is boilerplate: where a page marks no
+article, if two pages share the runs; inside a marked article, where markup speaks for the text, if so many pages' articles
+share them that they belong to the site (SITE_SHARE of the host's pages with articles, SITE_PAGES at least). Other blocks stay. Hosts
+whose stream is beyond HOST_TOKENS have their suffixes split by the runs they start with, and sorted by Spark.
 
 Defined results: null or empty html gives an empty text; identical pages count as one page of their host; a null or
-odd url belongs to the host ''; repeated rows give equal rows; an empty table gives no rows; other columns are ignored.
+odd url belongs to the host ''; repeated rows and ties give equal rows; very long pages are read whole; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from treelake.llm.common import stored, table
 
 #: Tokens of a shared run; block ends count as tokens.
 RUN = 8
-#: Hosts with more pages than this look for shared runs by joins of run digests instead of one suffix array.
-HOST_PAGES = 1500
+#: Share of a host's pages with articles, and pages at least, that have a run there if it is the site's.
+SITE_SHARE, SITE_PAGES = 0.5, 4
+#: Tokens of a host's stream beyond which its suffix array is split.
+HOST_TOKENS = 1_000_000
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+)""")
 #: Names of elements by their part in a page.
@@ -48,6 +54,8 @@ OTHER_WORDS = frozenset(
 )
 READER_WORDS = frozenset("comment comments disqus reply replies respond discussion related recommended recommendations".split())
 CONTENT_WORDS = frozenset("article articlebody articlecontent content maincontent pagecontent post postbody postcontent entry entrycontent story storybody".split())
+#: Words that make a header that of an article.
+TITLED = frozenset("article entry post story".split())
 PLAIN = frozenset("article main body html h1 h2 h3 h4 h5 h6".split())
 #: Fixed values of HTML's tree rules: what an element's start tag ends if open, and what that search does not pass.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -66,19 +74,25 @@ NOTHING, REGION, READERS, MARKED = range(4)
 
 @dataclass
 class Page:
-    """Blocks of a page in order, as (text, whether inside its marked article, whether it may be main text at all)."""
+    """Blocks of a page in order that markup does not drop, as (text, whether inside its marked article)."""
 
-    blocks: list[tuple[str, bool, bool]] = field(default_factory=list)
+    blocks: list[tuple[str, bool]] = field(default_factory=list)
     marked: bool = False
 
     def text(self) -> str:
-        return "\n\n".join(t for t, inside, _ in self.blocks if inside)
+        return "\n\n".join(t for t, inside in self.blocks if inside)
 
 
 def words_of(value: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w]
 
 
+def other_part(name: list[str], inside: bool) -> bool:
+    """Whether a class, id or role names what is no article; a header inside an article or of an entry is part of it."""
+    said = set(name) & OTHER_WORDS
+    return bool(said - {"header"} if inside or set(name) & TITLED else said)
+
+
 class Open:
     """The open elements of a page, ended as HTML's tree rules do where end tags are left out, and counts of their parts."""
 
@@ -148,21 +162,25 @@ class Open:
 def read_page(source: str) -> Page:
     page, pieces, open_ = Page(), [], Open()
 
+    def add(text: str) -> None:
+        if not open_.dropped:
+            pieces.append(text)
+
     def flush() -> None:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                page.blocks.append((text, open_.parts[MARKED] > 0 and not open_.dropped, not open_.dropped))
+                page.blocks.append((text, open_.parts[MARKED] > 0))
             pieces.clear()
 
     at, end = 0, len(source)
     while at < end:
         m = TAG.search(source, at)
         if not m:
-            pieces.append(source[at:])
+            add(source[at:])
             break
         if m.start() > at:
-            pieces.append(source[at : m.start()])
+            add(source[at : m.start()])
         at = m.end()
         close, name, rest = m[1], m[2], m[3]
         if close:
@@ -180,7 +198,7 @@ def read_page(source: str) -> Page:
             if name != "title":
                 continue
         if name in ("br", "wbr"):
-            pieces.append(" " if name == "br" else "")
+            add(" " if name == "br" else "")
             continue
         if name in BLOCKS:
             flush()
@@ -196,7 +214,7 @@ def read_page(source: str) -> Page:
                 open_.reopen()
             if not open_.dropped and not open_.parts[MARKED]:
                 part = MARKED
-        elif (name in DROPPED or (labels & OTHER_WORDS and name not in PLAIN) or labels & READER_WORDS or said.get("aria-hidden") == "true" or "display:none" in said.get("style", "").replace(" ", "") or re.search(r"\bhidden\b", ATTRIBUTE.sub("", rest or ""))) and name not in ("body", "html"):
+        elif (name in DROPPED or (name not in PLAIN and any(other_part(n, open_.parts[MARKED] > 0) for n in names)) or labels & READER_WORDS or said.get("aria-hidden") == "true" or "display:none" in said.get("style", "").replace(" ", "") or re.search(r"\bhidden\b", ATTRIBUTE.sub("", rest or ""))) and name not in ("body", "html"):
             if not (name == "header" and open_.parts[MARKED]):
                 part = READERS if labels & READER_WORDS else REGION
         elif name in ("div", "section") and not open_.parts[MARKED] and not open_.dropped and any("".join(n) in CONTENT_WORDS for n in names):
@@ -207,27 +225,42 @@ def read_page(source: str) -> Page:
     return page
 
 
-def token_stream(page: Page) -> list[int]:
-    """Digests of the words outside the marked article, 0 at block ends."""
-    out: list[int] = []
-    for text, inside, _ in page.blocks:
-        if not inside:
-            out += [xxhash.xxh64_intdigest(w, 1) >> 1 | 1 for w in text.split()]
-            out.append(0)
-    return out
-
-
 def host_of(url: str | None) -> str:
     m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@]*@)?([^/:?#]+)", url or "")
     return m[1].lower() if m else ""
 
 
+BLOCK_ROWS = "page_id long, url string, host string, key string, marked boolean, blocks array<struct<text:string,inside:boolean>>"
+
+
+def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, key, html) to the page's host and blocks, some pages at a time."""
+    blocks = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_())]))
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            some = batch.slice(start, 256)
+            pages = [read_page(h or "") for h in some["html"].to_pylist()]
+            hosts = pa.array([host_of(u) for u in some["url"].to_pylist()], pa.string())
+            said = pa.array([[{"text": t, "inside": i} for t, i in p.blocks] for p in pages], blocks)
+            yield pa.RecordBatch.from_arrays([some["page_id"], some["url"], hosts, some["key"], pa.array([p.marked for p in pages], pa.bool_()), said], ["page_id", "url", "host", "key", "marked", "blocks"])
+
+
 def stream_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, url, html) to (host, key, marked, tokens)."""
+    """(host, key, marked, blocks) to (host, key, marked, tokens, sizes): digests of words, 0 at block ends; tokens of each
+    block with its end, negative outside the marked article."""
     for batch in batches:
-        pages = [read_page(h or "") for h in batch["html"].to_pylist()]
-        columns = [pa.array([host_of(u) for u in batch["url"].to_pylist()], pa.string()), batch["key"], pa.array([p.marked for p in pages], pa.bool_()), pa.array([token_stream(p) for p in pages], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "key", "marked", "tokens"])
+        for start in range(0, batch.num_rows, 256):
+            some, tokens, sizes = batch.slice(start, 256), [], []
+            for blocks in some["blocks"].to_pylist():
+                tokens.append([])
+                sizes.append([])
+                for block in blocks:
+                    words = block["text"].split()
+                    tokens[-1] += [xxhash.xxh64_intdigest(w, 1) >> 1 | 1 for w in words]
+                    tokens[-1].append(0)
+                    sizes[-1].append(len(words) + 1 if block["inside"] else -len(words) - 1)
+            columns = [some["host"], some["key"], some["marked"], pa.array(tokens, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "key", "marked", "tokens", "sizes"])
 
 
 def suffix_ranks(tokens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,100 +273,134 @@ def suffix_ranks(tokens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     return np.argsort(rank, kind="stable"), rank
 
 
-def shared_runs(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
-    """For each page's stream, which tokens lie in a run that another page's stream has too."""
+def site_pages(pages: int) -> int:
+    """How many of a host's pages with articles must share a run there for it to be the site's."""
+    return max(SITE_PAGES, int(np.ceil(pages * SITE_SHARE)))
+
+
+def pages_sharing(rank: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """For each suffix, how many pages have a suffix of its rank."""
+    order = np.lexsort((page, rank))
+    first = np.ones(len(order), bool)
+    first[1:] = (rank[order][1:] != rank[order][:-1]) | (page[order][1:] != page[order][:-1])
+    groups, inverse = np.unique(rank, return_inverse=True)
+    return np.bincount(inverse[order[first]], minlength=len(groups))[inverse]
+
+
+def covered_by(hits: np.ndarray, size: int, run: int) -> np.ndarray:
+    """Which of size tokens lie in runs that begin at hits."""
+    edges = np.zeros(size + 1, np.int64)
+    np.add.at(edges, hits, 1)
+    np.add.at(edges, hits + run, -1)
+    return np.cumsum(edges)[:-1] > 0
+
+
+def shared_runs(streams: list[np.ndarray], inside: list[np.ndarray], marked: np.ndarray, run: int = RUN) -> list[np.ndarray]:
+    """For each page's stream, which tokens lie in boilerplate runs; inside tells tokens of a marked article."""
     page = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
     tokens = np.concatenate(streams) if streams else np.zeros(0, np.int64)
+    within = np.concatenate(inside) if inside else np.zeros(0, bool)
     covered = np.zeros(len(tokens), bool)
     if len(tokens) >= run:
-        order, rank = suffix_ranks(tokens, run)
-        whole = np.zeros(len(tokens), bool)
-        whole[: len(tokens) - run + 1] = page[run - 1 :] == page[: len(tokens) - run + 1]
-        order = order[whole[order]]
-        if len(order):
-            starts = np.flatnonzero(np.concatenate(([True], rank[order][1:] != rank[order][:-1])))
-            low, high = np.minimum.reduceat(page[order], starts), np.maximum.reduceat(page[order], starts)
-            hit = np.repeat(low != high, np.diff(np.append(starts, len(order))))
-            for k in range(run):
-                covered[order[hit] + k] = True
+        rank = suffix_ranks(tokens, run)[1]
+        at = np.flatnonzero(page[run - 1 :] == page[: len(tokens) - run + 1])
+        depth = np.cumsum(np.concatenate(([0], within)))
+        in_article = depth[at + run] - depth[at] == run
+        shared, site = pages_sharing(rank[at], page[at]), np.zeros(len(at), np.int64)
+        site[in_article] = pages_sharing(rank[at][in_article], page[at][in_article])
+        open_ = ~marked[page[at]]
+        hit = np.where(open_, shared > 1, site >= site_pages(int(marked.sum())))
+        covered = covered_by(at[hit], len(tokens), run)
     return np.split(covered, np.cumsum([len(s) for s in streams])[:-1])
 
 
-def host_runs(rows: pd.DataFrame) -> pd.DataFrame:
-    """One host's pages to the covered token positions of its pages that mark no article."""
-    found = shared_runs([np.asarray(t, dtype=np.int64) for t in rows["tokens"]])
-    out = [(k, np.flatnonzero(c).astype("i4")) for k, m, c in zip(rows["key"], rows["marked"], found) if not m and c.any()]
-    return pd.DataFrame({"key": pd.Series([k for k, _ in out], dtype="int64"), "covered": pd.Series([c for _, c in out], dtype=object)})
+def kept_blocks(covered: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which blocks have a word that no run covers."""
+    sizes = np.abs(sizes)
+    ends = np.cumsum(sizes)
+    free = np.concatenate(([0], np.cumsum(~covered)))
+    return free[ends - 1] - free[ends - sizes] > 0
 
 
-def run_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, key, tokens, marked) to (run, key, place, marked) for every run of a page; run is a digest within the host."""
-    for batch in batches:
-        for host, key, tokens, marked in zip(*(batch[c].to_pylist() for c in ("host", "key", "tokens", "marked"))):
-            packed, seed = np.array(tokens, "<i8").tobytes(), xxhash.xxh64_intdigest(host)
-            runs = [xxhash.xxh64_intdigest(packed[8 * i : 8 * (i + RUN)], seed) for i in range(len(tokens) - RUN + 1)]
-            n = len(runs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(runs, np.uint64).view(np.int64)), pa.array(np.full(n, key)), pa.array(np.arange(n, dtype="i4")), pa.array(np.full(n, marked))], ["run", "key", "place", "marked"])
-
-
-def boilerplate(pages: DataFrame, host_pages: int = HOST_PAGES) -> DataFrame:
-    """key and covered (token positions in shared runs) of pages that mark no article."""
-    streams = pages.mapInArrow(stream_rows, "host string, key long, marked boolean, tokens array<long>").dropDuplicates(["host", "key"])
-    streams = stored(streams, "html-streams")
-    hosts = stored(streams.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(~F.col("marked")).alias("open")).filter("open > 0"), "html-hosts")
-    if hosts.isEmpty():
-        return streams.sparkSession.createDataFrame([], "key long, covered array<int>")
-    small = streams.join(hosts.filter(F.col("pages") <= host_pages).select("host"), "host")
-    covered = small.groupBy("host").applyInPandas(host_runs, "key long, covered array<int>")
-    large = streams.join(hosts.filter(F.col("pages") > host_pages).select("host"), "host")
-    if not large.isEmpty():
-        runs = stored(large.mapInArrow(run_digests, "run long, key long, place int, marked boolean"), "html-runs")
-        shared = runs.groupBy("run").agg((F.min("key") != F.max("key")).alias("shared")).filter("shared").select("run")
-        hit = runs.filter("not marked").join(stored(shared, "html-shared"), "run")
-        places = hit.select("key", F.explode(F.sequence(F.col("place"), F.col("place") + RUN - 1)).alias("place"))
-        covered = covered.unionByName(places.groupBy("key").agg(F.collect_set("place").alias("covered")))
-    return covered.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"))
+def host_runs(rows: pd.DataFrame) -> pd.DataFrame:
+    """One host's pages to the masks of kept blocks of those that lose some."""
+    sizes = [np.asarray(x, np.int64) for x in rows["sizes"]]
+    found = shared_runs([np.asarray(t, np.int64) for t in rows["tokens"]], [np.repeat(x > 0, np.abs(x)) for x in sizes], rows["marked"].to_numpy(bool))
+    kept = [kept_blocks(c, x) for c, x in zip(found, sizes)]
+    out = [(h, k, m) for h, k, m in zip(rows["host"], rows["key"], kept) if not m.all()]
+    return pd.DataFrame(out, columns=["host", "key", "kept"])
 
 
-def marked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages that mark their article, with their text."""
-    for batch in batches:
-        pages = [read_page(h or "") for h in batch["html"].to_pylist()]
-        which = [i for i, p in enumerate(pages) if p.marked]
-        kept = batch.take(pa.array(which, pa.int64()))
-        yield pa.RecordBatch.from_arrays([kept["page_id"], kept["url"], pa.array([pages[i].text() for i in which], pa.string())], ["page_id", "url", "text"])
+MULTIPLIERS = np.random.default_rng(20240808).integers(0, 1 << 63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages that mark no article, whole."""
+def run_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, key, marked, tokens, sizes, open) to (host, key, run, inside, places) for each run of a page: a digest within
+    the host, whether it begins an article's run, and where. Runs outside articles count only for hosts with open pages."""
     for batch in batches:
-        yield batch.filter(pa.array([not read_page(h or "").marked for h in batch["html"].to_pylist()], pa.bool_()))
+        for host, key, tokens, sizes, open_ in zip(*(batch[c].to_pylist() for c in ("host", "key", "tokens", "sizes", "open"))):
+            if len(tokens) < RUN:
+                continue
+            sizes = np.array(sizes)
+            depth = np.cumsum(np.concatenate(([0], np.repeat(sizes > 0, np.abs(sizes)))))
+            inside = depth[RUN:] - depth[:-RUN] == RUN
+            runs = np.lib.stride_tricks.sliding_window_view(np.array(tokens, np.int64).view(np.uint64), RUN) @ MULTIPLIERS
+            runs = ((runs ^ np.uint64(xxhash.xxh64_intdigest(host))) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            places = np.arange(len(runs)) if open_ else np.flatnonzero(inside)
+            places = places[np.lexsort((places, inside[places], runs[places]))]
+            first = np.ones(len(places), bool)
+            first[1:] = (runs[places][1:] != runs[places][:-1]) | (inside[places][1:] != inside[places][:-1])
+            starts = np.flatnonzero(first)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(places)).astype("i4")), pa.array(places.astype("i4")))
+            n, some = len(starts), places[starts]
+            yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array([key] * n, pa.string()), pa.array(runs[some]), pa.array(inside[some]), lists], ["host", "key", "run", "inside", "places"])
+
+
+def split_host_runs(streams: DataFrame) -> DataFrame:
+    """host, key, kept of pages of large hosts: suffixes meet by the run they start with."""
+    rows = streams.mapInArrow(run_digests, "host string, key string, run long, inside boolean, places array<int>")
+    rows = stored(rows, "html-runs")
+    page = F.xxhash64("key")
+    runs = rows.groupBy("run").agg((F.min(page) != F.max(page)).alias("shared"), F.count_if("inside").alias("articles")).filter("shared")
+    hosts = streams.select("host", "least").distinct()
+    hit = rows.join(stored(runs, "html-shared"), "run").join(F.broadcast(hosts), "host")
+    pages = streams.select("host", "key", "marked", "sizes")
+    hit = hit.join(pages.select("host", "key", "marked"), ["host", "key"])
+    hit = hit.filter(~F.col("marked") | (F.col("inside") & (F.col("articles") >= F.col("least"))))
+    places = hit.groupBy("host", "key").agg(F.flatten(F.collect_list("places")).alias("places"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [np.array(x) for x in batch["sizes"].to_pylist()]
+            kept = [kept_blocks(covered_by(np.array(p), int(np.abs(x).sum()), RUN), x) for p, x in zip(batch["places"].to_pylist(), sizes)]
+            yield pa.RecordBatch.from_arrays([batch["host"], batch["key"], pa.array([k.tolist() for k in kept], pa.list_(pa.bool_()))], ["host", "key", "kept"])
+
+    found = places.join(pages, ["host", "key"]).select("host", "key", "places", "sizes")
+    return found.mapInArrow(task, "host string, key string, kept array<boolean>").filter(~F.forall("kept", lambda k: k))
+
+
+def boilerplate(pages: DataFrame, host_tokens: int = HOST_TOKENS) -> DataFrame:
+    """host, key, kept (which blocks stay) of distinct pages that lose blocks to shared runs."""
+    streams = pages.select("host", "key", "marked", "blocks").mapInArrow(stream_rows, "host string, key string, marked boolean, tokens array<long>, sizes array<int>")
+    streams = stored(streams.dropDuplicates(["host", "key"]), "html-streams")
+    hosts = streams.groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.size("tokens")).alias("n"), F.count_if("marked").alias("articles")).withColumn("open", F.col("pages") - F.col("articles"))
+    hosts = stored(hosts.filter("pages > 1"), "html-hosts")
+    kept = streams.join(hosts.filter(F.col("n") <= host_tokens).select("host"), "host").groupBy("host").applyInPandas(host_runs, "host string, key string, kept array<boolean>")
+    large = hosts.filter(F.col("n") > host_tokens)
+    if not large.isEmpty():
+        least = F.greatest(F.lit(SITE_PAGES), F.ceil(F.col("articles") * SITE_SHARE)).alias("least")
+        kept = kept.unionByName(split_host_runs(streams.join(large.select("host", "open", least), "host")))
+    return stored(kept, "html-kept")
 
 
-def unique_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages without a marked article and their covered tokens to their text of unique runs."""
-    for batch in batches:
-        out = []
-        for source, covered in zip(batch["html"].to_pylist(), batch["covered"].to_pylist()):
-            gone, at, texts = set(covered or ()), 0, []
-            for text, _, possible in read_page(source or "").blocks:
-                size = len(text.split())
-                if possible and not gone.issuperset(range(at, at + size)):
-                    texts.append(text)
-                at += size + 1
-            out.append("\n\n".join(texts))
-        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(out, pa.string())], ["page_id", "url", "text"])
-
-
-def main_text(pages: DataFrame, host_pages: int = HOST_PAGES) -> DataFrame:
+def main_text(pages: DataFrame, host_tokens: int = HOST_TOKENS) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
-    rows = pages.select("page_id", "url", "html", F.xxhash64("html").alias("key"))
-    covered = boilerplate(rows.select("key", "url", "html"), host_pages)
-    schema = rows.select("page_id", "url", F.col("html").alias("text")).schema
-    marked = rows.mapInArrow(marked_rows, schema)
-    open_ = rows.mapInArrow(open_rows, rows.schema)
-    unmarked = open_.join(covered, "key", "left").select("page_id", "url", "html", "covered").mapInArrow(unique_rows, schema)
-    return marked.unionByName(unmarked).withColumn("n_chars", F.length("text").cast("long"))
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("key"), "html")
+    rows = stored(rows.mapInArrow(block_rows, BLOCK_ROWS), "html-blocks")
+    rows = rows.join(boilerplate(rows, host_tokens), ["host", "key"], "left")
+    stays = lambda b, i: (b["inside"] | ~F.col("marked")) & (F.col("kept").isNull() | F.get("kept", i))
+    text = F.array_join(F.transform(F.filter("blocks", stays), lambda b: b["text"]), "\n\n")
+    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
