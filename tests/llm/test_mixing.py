@@ -49,21 +49,30 @@ def test_query_meets_the_targets(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = mixing.mix(docs).collect()
     assert_mix([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()], found)
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    columns = ["doc_id", "size", "source_size", "target", "taken", "shards"]
     again = QUERIES["op5_mixing"](spark, sf_dir)
-    assert again.columns == columns
-    assert ordered(again.collect()) == ordered(tuple(r[c] for c in columns) for r in found)
+    assert again.columns == [*columns, "place"]
+    assert ordered(again.select(columns).collect()) == ordered(tuple(r[c] for c in columns) for r in found)
 
 
 def test_odd_rows(spark):
     df = documents(spark)
     rows = df.collect()
     found = mixing.mix(df).collect()
+    assert_mix([(r["doc_id"], r["text"], r["source"]) for r in rows], found)
     assert ordered((r["doc_id"], r["source"], r["size"]) for r in found) == ordered((r["doc_id"], r["source"], len(words(r["text"]))) for r in rows)
     assert mixing.mix(documents(spark, [])).count() == 0
     assert mixing.mixed(documents(spark, [])).count() == 0
 
 
+def test_a_very_long_document_among_short_ones(spark):
+    rows = [(i, f"w{i} " * (1 + i % 300), "en", "b") for i in range(2000)] + [(5000, "long " * 60_000, "en", "b"), (6000, "x " * 100_000, "en", "a")]
+    for seed in (7, 8, 9, 10):
+        found = mixing.mix(documents(spark, rows), seed).collect()
+        taken, target = sum(r["taken"] for r in found if r["source"] == "b"), next(r["target"] for r in found if r["source"] == "b")
+        assert abs(taken - target) <= 0.01 * target
+
+
 def test_mixed_gives_each_row_as_often_as_it_is_taken(spark):
     rows = [(i, f"word{i} " * (1 + i % 7), "en", "ab"[i % 5 == 0]) for i in range(300)]
     df = documents(spark, rows)

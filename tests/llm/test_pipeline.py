@@ -1,7 +1,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from brute import encoded, exact, near, ordered
+import pytest
+from brute import documents, encoded, exact, near, ordered
 from test_mixing import assert_mix
 
 from treelake.llm import mixing, toxicity
@@ -36,3 +37,18 @@ def test_each_stage_equals_brute_force(spark, sf_dir):
     out = encode(spark, mixed, sf_dir).collect()
     assert ordered(out) == ordered(encoded([(r["doc_id"], r["text"]) for r in mixed.collect()]))
     assert ordered(out) == ordered(corpus_pipeline.run(spark, sf_dir).collect())
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows_and_empty_tables(spark, sf_dir, empty):
+    docs = documents(spark, []) if empty else documents(spark).unionByName(documents(spark, [(20, None, "en", None), (None, "y", "en", "a"), (None, "unrelated text of its own", None, "b")]))
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = stored(stage(spark, docs, sf_dir), "t-odd")
+        if name != "bpe":
+            assert docs.columns == before.columns
+            assert empty or name == "mixing" or docs.exceptAll(before).isEmpty()
+    found = [r["doc_id"] for r in docs.collect()]
+    assert (found == []) == empty
+    if not empty:
+        assert set(found) <= {None, *range(1, 13), 20} and None in found

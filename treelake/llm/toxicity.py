@@ -5,11 +5,13 @@ labelled toxic where a toxic document has them. A field with two states is fitte
 forward-backward marginals of all words of a document aggregate to its score, and words with a high marginal to spans.
 
 The fit sees a bounded sample: the PER_CLASS[label] documents of each label with the smallest hash of their id, among
-labelled documents whose crc32(doc_id as text) mod 5 is not 0. Scoring reads every whole text and nothing else.
+labelled documents whose crc32(doc_id as text) mod 5 is not 0 and whose texts have at most SAMPLE_CHARS code points; at most
+STRETCHES windows of each. Scoring reads every whole text, however long, and nothing else.
 
 Defined results: a null text counts as empty; a text without words gets the score of no evidence; without labelled rows of
-both kinds every score is the share of toxic labels seen (0 if none); repeated rows and equal texts get equal scores;
-an empty table gives no rows; other columns of the input are ignored.
+both kinds every score is the share of toxic labels seen (0 if none); repeated rows and equal texts get equal scores; rows
+that repeat a labelled id are sampled by the hash of their text; a score of exactly the threshold counts as toxic; offsets are
+code points of the text as it is; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +33,17 @@ from treelake.llm.common import table
 PER_CLASS = (4000, 2500)
 #: Most words of a window, and of all windows of the sample.
 WINDOW, SAMPLE_WORDS = 48, 400_000
+#: Most windows of a document in the sample, and most code points of a document there.
+STRETCHES, SAMPLE_CHARS = 7, 50_000
 HASH_BITS = 19
 BLOCK = 64
-WORDS = re.compile(r"\w+").findall
+WORD = re.compile(r"\w+")
+
+
+def lower_words(text: str) -> list[str]:
+    """The words of a text in lower case, as many as it has; lower case may be longer than the text."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -193,7 +203,7 @@ def windows(words: list[str], toxic: set[str], label: int, random: np.random.Gen
     starts = [int(random.integers(0, max(1, len(words) - WINDOW)))] if label == 0 or tags.any() else []
     last = -WINDOW
     for i in np.flatnonzero(tags):
-        if i >= last + WINDOW // 2 and len(starts) < 6:
+        if i >= last + WINDOW // 2 and len(starts) < STRETCHES:
             starts.append(max(0, int(i) - WINDOW // 2))
             last = i
     return [(words[s : s + WINDOW], tags[s : s + WINDOW]) for s in starts]
@@ -205,7 +215,7 @@ def fit(texts: list[str], labels: list[int], base_rate: float, steps: int = 60,
     empty = Field(np.zeros(1 << HASH_BITS), np.zeros((2, 2)), np.zeros(4), constant=base_rate)
     if not (labels == 1).any() or not (labels == 0).any():
         return empty
-    words = [WORDS(t.lower()) for t in texts]
+    words = [lower_words(t) for t in texts]
     toxic = toxic_words(words, labels)
     random = np.random.default_rng(seed)
     calibrate = np.array([zlib.crc32(t.encode()) % 3 == 0 for t in texts])
@@ -272,8 +282,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_C
     for label, most in enumerate(per_class):
         one = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = one if picked is None else picked.unionByName(one)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text is not null").select("text", "toxic", "doc_id")
-    rows = sorted(found.limit(2 * sum(per_class)).collect(), key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.length("text") <= SAMPLE_CHARS).select("text", "toxic", "doc_id")
+    rows = sorted(found.orderBy(F.xxhash64("text"), "doc_id", "toxic").limit(2 * sum(per_class)).collect(), key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], base)
 
 
@@ -281,43 +291,41 @@ def score_batches(model: Field, texts: list[str | None]) -> Iterator[tuple[int,
     """Marginals of the texts, some hundred thousand words at a time: (position of the first, marginals)."""
     held, size, start = [], 0, 0
     for i, text in enumerate(texts):
-        held.append(WORDS((text or "").lower()))
+        held.append(lower_words(text or ""))
         size += len(held[-1])
         if size > 300_000 or i + 1 == len(texts):
             yield start, model.marginals(held)
             held, size, start = [], 0, i + 1
 
 
-def score(docs: DataFrame, model: Field, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def offences(text: str, marginals: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """(start, end, highest marginal) of the stretches of words with a marginal of at least this."""
+    hit = marginals >= least
+    if not hit.any():
+        return []
+    places = [m.span() for m in WORD.finditer(text)]
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+    return [(places[a][0], places[b - 1][1], float(marginals[a:b].max())) for a, b in edges.reshape(-1, 2)]
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.scores(m) for _, m in score_batches(shared.value, batch["text"].to_pylist())]
-            scores = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores)], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+SCORED = "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>"
 
 
-def spans(docs: DataFrame, model: Field, least: float = 0.5) -> DataFrame:
-    """doc_id, start, end (code points, end exclusive), marginal of every word with a marginal of at least this."""
+def score(docs: DataFrame, model: Field, threshold: float = 0.5, least: float = 0.5) -> DataFrame:
+    """doc_id, held_out, score, predicted, spans (start, end, marginal of offending stretches, end exclusive) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, out = batch["doc_id"].to_pylist(), batch["text"].to_pylist(), []
+            texts, scores, spans = batch["text"].to_pylist(), [], []
             for first, found in score_batches(shared.value, texts):
-                for k, m in enumerate(found):
-                    if (m >= least).any():
-                        text = texts[first + k].lower()
-                        places = [x.span() for x in re.finditer(r"\w+", text)]
-                        out += [(ids[first + k], *places[j], float(m[j])) for j in np.flatnonzero(m >= least)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "start", "end", "marginal"), x)) for x in out], pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
+                scores.extend(shared.value.scores(found))
+                spans += [[dict(zip(("start", "end", "marginal"), x)) for x in offences(texts[first + k] or "", m, least)] for k, m in enumerate(found)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64()), pa.array(spans, spans_type)], ["doc_id", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, start long, end long, marginal double")
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, SCORED)
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
 
 
 def reject_toxic(docs: DataFrame, model: Field, threshold: float = 0.5) -> DataFrame:
@@ -334,7 +342,9 @@ def reject_toxic(docs: DataFrame, model: Field, threshold: float = 0.5) -> DataF
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    said = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.withColumn("spans", said)
 
 
 QUERIES = {"op4_toxicity": op4}
