@@ -2,6 +2,10 @@
 
 Each stage takes the documents that its predecessor kept and returns them with the columns of documents; the last one
 returns doc_id, n_tokens, ids_sha256 and decoded_sha256. Between stages the rows are written as Parquet and read again.
+The mixing stage writes the rows of each output shard together, in the order of its local shuffle.
+
+Defined results: nulls in any column, empty and very long texts, repeated rows, ties and extra columns are handled by each
+stage as its operator says; rows keep all their columns up to the last stage; empty documents give no rows.
 SQL can express neither the learned scores nor the encoding, so the stages are tested against brute force.
 """
 
@@ -26,7 +30,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs).select(docs.columns)
+    mixed = mixing.mixed(docs)
+    shard, place = mixed.columns[-2:]
+    return mixed.repartition(mixing.SHARDS, shard).sortWithinPartitions(shard, place).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
