@@ -13,7 +13,7 @@ from pyspark.sql.types import BinaryType
 
 def content_path(digest: Column) -> Column:
     """Place of an object in a store: its first two digits are a folder."""
-    return F.concat(F.substring(digest, 1, 2), F.lit("/"), F.substring(digest, 3, 1 << 20))
+    return F.concat(F.substring(digest, 1, 2), F.lit("/"), F.substr(digest, F.lit(3)))
 
 
 def digest_parts(said: Column) -> Column:

@@ -55,10 +55,11 @@ def retained(stats: DataFrame, now: str, days: int) -> DataFrame:
 
 
 def rolled_back(tags: DataFrame, name: str, new_hash: str, new_revision: int) -> DataFrame:
-    """Trunk tags after the named one go, and it comes back with a new hash and revision."""
-    target = tags.filter(F.col("name") == name).select(F.col("revision").alias("target"))
+    """Trunk tags after the named one go, and it comes back with a new hash and revision; an unknown name changes nothing."""
+    target = tags.filter(F.col("name") == name).agg(F.max("revision").alias("target"))
     both = tags.crossJoin(F.broadcast(target))
-    kept = both.filter(~(((F.col("revision") > F.col("target")) | (F.col("name") == name)) & (F.col("branch") == ""))).drop("target")
+    later = (F.col("branch") == "") & ((F.col("revision") > F.col("target")) | (F.col("name") == name))
+    kept = both.filter(F.col("target").isNull() | ~later).drop("target")
     back = tags.filter(F.col("name") == name).withColumns({"hash": F.lit(new_hash), "revision": F.lit(new_revision)})
     return kept.unionByName(back)
 
@@ -80,18 +81,36 @@ def stale_auto_tags(tags: DataFrame, threshold: int) -> DataFrame:
 
 
 def partitioned(dirents: DataFrame, mount: str) -> DataFrame:
-    """Entries at and below mount move to a partition of their own; the mount point stays in its parent as well."""
-    inside = below(F.col("path"), F.lit(mount)) & ~below(F.lit(mount), F.col("catalog"))
-    moved = dirents.filter(inside & (F.col("catalog") == nearest(mount, dirents)))
-    rest = dirents.filter(~(inside & (F.col("catalog") == nearest(mount, dirents))))
+    """Entries at and below mount move from the nearest partition above to one of their own, mount points of nested
+    partitions too; the mount point stays in its parent as well. A mount that is no plain directory changes nothing."""
+    above = dirents.filter(has(32) & below(F.lit(mount), F.col("catalog"))).agg(F.max_by("catalog", F.length("catalog")).alias("above_"))
+    plain = dirents.filter((F.col("path") == mount) & has(1) & ~has(2) & ~has(32)).agg((F.count("*") > 0).alias("plain_"))
+    moves = below(F.col("path"), F.lit(mount)) & (F.col("catalog") == F.col("above_")) & F.col("plain_")
+    both = dirents.crossJoin(F.broadcast(above)).crossJoin(F.broadcast(plain)).withColumn("moves_", F.coalesce(moves, F.lit(False)))
+    moved, rest = both.filter("moves_").select(dirents.columns), both.filter("not moves_").select(dirents.columns)
     point = moved.filter(F.col("path") == mount).withColumn("flags", F.col("flags").bitwiseOR(2))
     root = moved.withColumns({"catalog": F.lit(mount), "flags": F.when(F.col("path") == mount, F.col("flags").bitwiseOR(32)).otherwise(F.col("flags"))})
     return rest.unionByName(point).unionByName(root)
 
 
-def nearest(path: str, dirents: DataFrame) -> Column:
-    """The longest partition above a path, from the list of its own ancestors."""
-    return F.lit("/".join(path.split("/")[:3]) if path.count("/") > 2 else "")
+def grouped_hardlinks(dirents: DataFrame, new: DataFrame) -> DataFrame:
+    """New entries (catalog, inode and more) with hardlinks: each inode of several entries is a group of its partition,
+    numbered after the partition's largest, with its size as link count; single entries count one link."""
+    top = dirents.groupBy("catalog").agg(F.max(F.shiftright("hardlinks", 32)).alias("top"))
+    groups = new.groupBy("catalog", "inode").agg(F.count("*").alias("links"))
+    number = F.row_number().over(Window.partitionBy("catalog").orderBy("inode"))
+    many = groups.filter("links > 1").withColumn("number", number).join(top, "catalog", "left")
+    many = many.select("catalog", "inode", (F.shiftleft((F.coalesce("top", F.lit(0)) + F.col("number")).cast("long"), 32) + F.col("links")).alias("hardlinks"))
+    return new.drop("hardlinks").join(many, ["catalog", "inode"], "left").withColumn("hardlinks", F.coalesce("hardlinks", F.lit(1).cast("long")))
+
+
+def shrunk_hardlinks(dirents: DataFrame, removed: DataFrame) -> DataFrame:
+    """Entries without those removed (catalog, path); what stays of their link groups counts so many links less."""
+    group = F.shiftright("hardlinks", 32).alias("group_")
+    gone = removed.select("catalog", "path").distinct()
+    less = dirents.join(gone, ["catalog", "path"], "left_semi").select("catalog", group).filter("group_ > 0").groupBy("catalog", "group_").agg(F.count("*").alias("less_"))
+    rest = dirents.join(gone, ["catalog", "path"], "left_anti").withColumn("group_", F.shiftright("hardlinks", 32)).join(less, ["catalog", "group_"], "left")
+    return rest.withColumn("hardlinks", F.col("hardlinks") - F.coalesce("less_", F.lit(0))).select(dirents.columns)
 
 
 def merged_into_parent(dirents: DataFrame, catalog: str, parent: str) -> DataFrame:
@@ -108,7 +127,7 @@ def merged_into_parent(dirents: DataFrame, catalog: str, parent: str) -> DataFra
 def cloned(dirents: DataFrame, source: str, target: str) -> DataFrame:
     """Entries of the tree at source under target, as plain entries: path and its digest new, markers reset, no root doubles."""
     part = dirents.filter(below(F.col("path"), F.lit(source)) & ~has(32))
-    path = F.concat(F.lit(target), F.substring(F.col("path"), len(source) + 1, 1 << 20))
+    path = F.concat(F.lit(target), F.substr(F.col("path"), F.lit(len(source) + 1)))
     out = part.withColumn("flags", F.col("flags").bitwiseAND(~(2 | 32))).withColumn("path", path)
     return out.withColumns({"parent": F.regexp_replace("path", "/[^/]*$", ""), "name": F.regexp_extract("path", "([^/]*)$", 1), "md5path": F.md5("path")})
 
@@ -158,12 +177,27 @@ def tree_diff(old: DataFrame, new: DataFrame, equal_parts: DataFrame | None = No
 
 
 def scoped_merge(head: DataFrame, old: DataFrame, new: DataFrame, scope: str) -> DataFrame:
-    """The head with old-to-new changes at or below scope applied: the filter stands before the join on both sides."""
+    """The head with old-to-new changes at or below scope applied: the filter stands before the join on both sides.
+
+    Paths that were added, removed or modified are taken from new, whatever the head has there; what the head has below a
+    removed directory goes with it.
+    """
     within = below(F.col("path"), F.lit(scope))
-    changes = tree_diff(old.filter(within), new.filter(within)).select("path", "change")
-    gone = changes.filter("change in ('R', 'M')")
+    changes = tree_diff(old.filter(within), new.filter(within)).select("path", "change", "kind", "new_kind")
+    directory = lambda c: F.coalesce(F.col(c), F.lit(0)).bitwiseAND(1) != 0
+    emptied = changes.filter("change <> 'A'").filter(directory("kind") & ~directory("new_kind")).select(F.col("path").alias("above_"))
+    inside = head.filter(within).join(changes.select("path"), "path", "left_anti")
+    lost = inside.select("path", F.explode(ancestors(F.col("path"))).alias("above_")).join(emptied, "above_", "left_semi").select("path").distinct()
     fresh = new.filter(within & ~has(2)).join(changes.filter("change in ('A', 'M')"), "path", "left_semi")
-    return head.join(gone, "path", "left_anti").unionByName(fresh.select(head.columns))
+    kept = head.filter(~within).unionByName(inside.join(lost, "path", "left_anti").select(head.columns))
+    return kept.unionByName(fresh.select(head.columns))
+
+
+def merge_counts(changes: DataFrame) -> DataFrame:
+    """change, kind, count of a diff: directories, links and files that are added, removed and modified."""
+    kind = F.coalesce("new_kind", "kind")
+    said = F.when(kind.bitwiseAND(8) != 0, "symlink").when(kind.bitwiseAND(1) != 0, "directory").otherwise("file")
+    return changes.groupBy("change", said.alias("kind")).agg(F.count("*").alias("count"))
 
 
 def diff_report(diff: DataFrame) -> DataFrame:

@@ -100,6 +100,12 @@ def unused_layers(manifests: DataFrame, layers: DataFrame) -> DataFrame:
     return layers.join(manifests.select(F.explode("layers").alias("layer")), "layer", "left_anti")
 
 
+def backlink_counts(manifests: DataFrame) -> DataFrame:
+    """layer, number of images that hold it, and the smallest of them; no list of images is made."""
+    rows = manifests.select("image", F.explode("layers").alias("layer"))
+    return rows.groupBy("layer").agg(F.count_distinct("image").alias("images"), F.min("image").alias("first"))
+
+
 def backlinks(manifests: DataFrame) -> DataFrame:
     """layer and the sorted images that hold it."""
     return manifests.select("image", F.explode("layers").alias("layer")).groupBy("layer").agg(F.array_sort(F.collect_set("image")).alias("images"))
@@ -165,6 +171,29 @@ def chunk_list_hash(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("path").agg(F.sha1(F.unhex(joined)).alias("digest"))
 
 
+def text_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, median (the middle value in order of text, the later of two), maximum: from counts of equal values."""
+    counts = rows.groupBy(key, F.col(value).cast("string").alias("text")).agg(F.count("*").alias("n"), F.max(value).alias("top"))
+    upto = F.sum("n").over(Window.partitionBy(key).orderBy("text"))
+    counts = counts.withColumns({"upto": upto, "all": F.sum("n").over(Window.partitionBy(key))})
+    return counts.groupBy(key).agg(F.min(F.when(F.expr("upto > all div 2"), F.col("text"))).alias("median"), F.max("top").alias("maximum"))
+
+
+def file_statistics(dirents: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
+    """The tables catalogs, objects, files, files_objects and symlinks of file statistics; digests and paths are the keys."""
+    regular = dirents.filter(has(4) & ~has(8) & ~has(16))
+    whole = regular.filter(~has(64) & F.col("hash").isNotNull()).select("path", "hash", "size")
+    pieces = regular.filter(has(64)).select("path").join(chunks.select("path", "hash", "size"), "path")
+    objects = whole.unionByName(pieces)
+    return {
+        "catalogs": dirents.groupBy("catalog").agg(F.count("*").alias("num_entries"), F.sum("size").alias("file_size")),
+        "objects": objects.groupBy("hash").agg(F.max("size").alias("size")),
+        "files": regular.select("path", "catalog"),
+        "files_objects": objects.select("path", "hash"),
+        "symlinks": dirents.filter(has(8)).select(F.length("symlink").alias("length")),
+    }
+
+
 # orderings
 
 
@@ -207,11 +236,11 @@ def arc(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 def branch_order(branches: DataFrame) -> DataFrame:
     """branch, level, key: sorting by key gives the pre-order of the branch tree; levels are walked from the root."""
-    level = branches.filter("parent is null").select("branch", F.lit(0).alias("level"), F.array(F.lpad("branch", 8, " ")).alias("key"))
+    level = branches.filter("parent is null").select("branch", F.lit(0).alias("level"), F.array("branch").alias("key"))
     out = level
     while not level.isEmpty():
         up = level.select(F.col("branch").alias("parent"), "level", "key")
-        level = branches.join(up, "parent").select("branch", (F.col("level") + 1).alias("level"), F.concat("key", F.array(F.lpad("branch", 8, " "))).alias("key")).checkpoint()
+        level = branches.join(up, "parent").select("branch", (F.col("level") + 1).alias("level"), F.concat("key", F.array("branch")).alias("key")).checkpoint()
         out = out.union(level)
     return out
 

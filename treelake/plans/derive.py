@@ -64,8 +64,9 @@ MODEL = {
     "binds": "SELECT concat('/bind', cast(r_regionkey AS string)) AS path, md5(concat('bind', cast(r_regionkey AS string))) AS sha1, cast(r_regionkey AS bigint) AS size FROM {region}",
     "tags": """
         SELECT concat('t', cast(o_orderkey AS string)) AS name, md5(concat('root', cast(o_orderkey % 500 AS string))) AS hash,
-               row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS revision, EPOCH(o_orderdate) AS timestamp, cast(floor(o_totalprice) AS bigint) AS size,
-               CASE WHEN o_custkey % 4 = 0 THEN concat('b', cast(o_custkey % 20 AS string)) ELSE '' END AS branch, o_orderpriority AS description FROM {orders}""",
+               cast(d.earlier + row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS int) AS revision, EPOCH(o_orderdate) AS timestamp, cast(floor(o_totalprice) AS bigint) AS size,
+               CASE WHEN o_custkey % 4 = 0 THEN concat('b', cast(o_custkey % 20 AS string)) ELSE '' END AS branch, o_orderpriority AS description
+        FROM {orders} JOIN (SELECT day, sum(n) OVER (ORDER BY day) - n AS earlier FROM (SELECT o_orderdate AS day, count(*) AS n FROM {orders} GROUP BY o_orderdate) x) d ON d.day = o_orderdate""",
     "branches": """
         SELECT '' AS branch, cast(NULL AS string) AS parent, cast(0 AS bigint) AS initial_revision
         UNION ALL SELECT concat('b', cast(n_nationkey AS string)), CASE WHEN n_nationkey < 5 THEN '' ELSE concat('b', cast(n_nationkey % 5 + CASE WHEN n_nationkey >= 10 THEN 5 ELSE 0 END AS string)) END,
@@ -94,7 +95,7 @@ MODEL = {
     "leases": """
         SELECT cast(event_id AS string) AS token, concat('repo', cast(user_id % 3 AS string)) AS repository,
                CASE WHEN event_id % 5 = 0 THEN concat('/u', cast(user_id AS string)) ELSE concat('/u', cast(user_id AS string), '/', event_type) END AS path,
-               EPOCH(ts) * 1000 + 3600000 AS expiration FROM {events} WHERE event_id % 10 = 0""",
+               EPOCH(ts) * 1000 + 3600000 AS expiration FROM {events}""",
     "stats": """
         SELECT n_nationkey AS publish_id, concat('2024-0', cast(n_nationkey % 9 + 1 AS string), '-1', cast(n_nationkey % 10 AS string), ' 08:00:00') AS finish_time,
                CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE concat('2024-0', cast(n_nationkey % 9 + 1 AS string), '-1', cast(n_nationkey % 10 AS string), ' 07:00:00') END AS start_time,

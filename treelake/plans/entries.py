@@ -55,9 +55,9 @@ R.add("flt_relaxed", lambda t: op.matching_relaxed(t.dirents.select("path").dist
     SELECT path FROM p WHERE EXISTS (SELECT 1 FROM r WHERE NOT negated AND (path = rule OR path LIKE rule || '/%' OR rule LIKE path || '/%'))
       AND NOT EXISTS (SELECT 1 FROM r WHERE negated AND (path = rule OR path LIKE rule || '/%'))""")
 R.add("flt_contra", lambda t: op.contradictions(rules(t)), f"SELECT DISTINCT a.rule FROM ({RULES}) a JOIN ({RULES}) b ON a.rule = b.rule AND NOT a.negated AND b.negated")
-R.add("flt_spectree", lambda t: op.matching_tree(t.dirents.select("path").distinct(), ["/r1/n1/*", "^/r2/n2/*", "!/r1/n1/c1", "/r3/n3"]), """
+R.add("flt_spectree", lambda t: op.matching_tree(t.dirents.select("path").distinct(), ["/r1/n1/*", "^/r2/n2/*", "!" + t.dirents.filter("catalog = '/r1/n1' and (flags & 35) = 1").agg(F.min("path")).first()[0], "/r3/n3"]), """
     SELECT DISTINCT path FROM {dirents} WHERE (path IN ('', '/r1', '/r2', '/r2/n2', '/r3', '/r3/n3', '/r1/n1') OR path LIKE '/r1/n1/%' OR (path LIKE '/r2/n2/%' AND path NOT LIKE '/r2/n2/%/%'))
-      AND NOT (path = '/r1/n1/c1' OR path LIKE '/r1/n1/c1/%')""")
+      AND NOT EXISTS (SELECT 1 FROM (SELECT min(path) AS p FROM {dirents} WHERE catalog = '/r1/n1' AND (flags & 35) = 1) WHERE path = p OR starts_with(path, p || '/'))""")
 R.add("flt_imageglob", lambda t: t.tags.filter(F.col("name").rlike(op.glob_regex("t1*5"))).select("name"), "SELECT name FROM {tags} WHERE regexp_full_match(name, 't1[^/]*5')")
 R.add("flt_reach", lambda t: op.reportable(t.dirents.select("path").distinct(), "/r1/n1"), """
     SELECT DISTINCT path, path = '/r1/n1' OR path LIKE '/r1/n1/%' AS within, NOT (path IN ('', '/r1', '/r1/n1') OR path LIKE '/r1/n1/%') AS ignored FROM {dirents}""")

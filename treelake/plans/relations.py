@@ -65,9 +65,9 @@ def manifests(t):
     return t.lineitem.groupBy(F.col("l_orderkey").alias("image")).agg(F.collect_set("l_suppkey").alias("layers"))
 
 
-add("jn_layers", lambda t: op.unused_layers(manifests(t).filter("image % 50 = 0"), t.supplier.select(F.col("s_suppkey").alias("layer"))),
-    "SELECT s_suppkey AS layer FROM {supplier} WHERE s_suppkey NOT IN (SELECT l_suppkey FROM {lineitem} WHERE l_orderkey % 50 = 0)")
-add("jn_backlink", lambda t: op.backlinks(manifests(t)).select("layer", F.size("images").cast("long").alias("images"), F.col("images")[0].alias("first")),
+add("jn_layers", lambda t: op.unused_layers(t.lineitem.filter("l_orderkey < 100").groupBy(F.col("l_orderkey").alias("image")).agg(F.collect_set("l_partkey").alias("layers")), t.part.select(F.col("p_partkey").alias("layer"))),
+    "SELECT p_partkey AS layer FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_orderkey < 100)")
+add("jn_backlink", lambda t: op.backlink_counts(manifests(t)),
     "SELECT l_suppkey AS layer, count(DISTINCT l_orderkey) AS images, min(l_orderkey) AS first FROM {lineitem} GROUP BY l_suppkey")
 add("jn_idmap", lambda t: op.mapped_ids(t.dirents, t.spark.sql("SELECT * FROM VALUES (1, 1001), (2, 1002) AS m(old, new)"), 99),
     "SELECT path, CASE uid WHEN 1 THEN 1001 WHEN 2 THEN 1002 ELSE 99 END AS uid FROM {dirents}")
@@ -120,16 +120,32 @@ add("ag_hitrate", lambda t: t.events.groupBy("user_id").agg(F.count_if(F.col("ev
 add("ag_ratio", lambda t: t.dirents.groupBy("catalog").agg(F.sum("size").alias("s"), F.count("*").alias("n")).select("catalog", F.expr("s div 1024").alias("kib"), F.expr("s div 1000").alias("kb"), (F.col("s") / F.col("n")).alias("ratio")),
     "SELECT catalog, (sum(size) // 1024)::bigint AS kib, (sum(size) // 1000)::bigint AS kb, sum(size)::double / count(*) AS ratio FROM {dirents} GROUP BY catalog")
 add("ag_lease_merge", lambda t: t.ticks.groupBy("user_id").agg(F.sum("amount").alias("bytes"), F.count("*").alias("files")), "SELECT user_id, sum(amount)::bigint AS bytes, count(*) AS files FROM {ticks} GROUP BY user_id")
-add("ag_bench", lambda t: t.ticks.groupBy("event_type").agg(F.sort_array(F.collect_list(F.col("amount").cast("string"))).alias("a"), F.max("amount").alias("maximum")).select("event_type", F.expr("a[cast(size(a) div 2 as int)]").alias("median"), "maximum"),
+add("ag_bench", lambda t: op.text_median(t.ticks, "event_type", "amount"),
     "SELECT event_type, list_sort(list(amount::varchar))[count(*) // 2 + 1] AS median, max(amount) AS maximum FROM {ticks} GROUP BY event_type")
 
+
+def file_stats(t):
+    tables = op.file_statistics(t.dirents, t.chunks)
+    total = {"catalogs": "file_size", "objects": "size", "files": "1", "files_objects": "1", "symlinks": "length"}
+    rows = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n"), F.sum(F.expr(total[name])).cast("long").alias("total")) for name, df in tables.items()]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    return out
+
+
+add("snk_filestats", file_stats, """
+    WITH f AS (SELECT * FROM {dirents} WHERE (flags & 28) = 4), fo AS (SELECT path, hash, size FROM f WHERE (flags & 64) = 0 AND hash IS NOT NULL UNION ALL SELECT c.path, c.hash, c.size FROM f JOIN {chunks} c ON c.path = f.path WHERE (flags & 64) <> 0)
+    SELECT 'catalogs' AS table_name, count(DISTINCT catalog) AS n, sum(size)::bigint AS total FROM {dirents} UNION ALL SELECT 'objects', count(*), sum(s)::bigint FROM (SELECT hash, max(size) AS s FROM fo GROUP BY hash)
+    UNION ALL SELECT 'files', count(*), count(*) FROM f UNION ALL SELECT 'files_objects', count(*), count(*) FROM fo UNION ALL SELECT 'symlinks', count(*), sum(length(symlink))::bigint FROM {dirents} WHERE (flags & 8) <> 0""")
+
 # orderings
 add("so_tags", lambda t: t.tags.orderBy(F.desc("timestamp"), F.desc("revision")), "SELECT * FROM {tags} ORDER BY timestamp DESC, revision DESC")
 add("so_chunks", lambda t: t.chunks.groupBy("path").agg(F.array_sort(F.collect_list("off")).alias("offs")).select("path", F.array_join(F.transform("offs", lambda x: x.cast("string")), ",").alias("offs")), "SELECT path, string_agg(off::bigint::varchar, ',' ORDER BY off) AS offs FROM {chunks} GROUP BY path")
 add("so_hashes", lambda t: op.ordered_hashes(t.tags), "SELECT hash, timestamp, revision FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY timestamp, revision) AS k FROM {tags}) WHERE k = 1 ORDER BY timestamp, revision")
 add("so_reflog", lambda t: t.refs.filter("type = 1 AND timestamp < 850000000").orderBy(F.desc("timestamp")), "SELECT * FROM {refs} WHERE type = 1 AND timestamp < 850000000 ORDER BY timestamp DESC")
-add("tk_asof", lambda t: op.tags_as_of(t.tags, t.tags.filter("revision % 10 = 0").select((F.col("timestamp") + 43200).alias("t"))), """
-    SELECT t, arg_max(name, g.revision) AS name, max(g.revision) AS revision FROM (SELECT DISTINCT timestamp + 43200 AS t FROM {tags} WHERE revision % 10 = 0) q
+add("tk_asof", lambda t: op.tags_as_of(t.tags, t.tags.select((F.col("timestamp") + 43200).alias("t"))), """
+    SELECT t, arg_max(name, g.revision) AS name, max(g.revision) AS revision FROM (SELECT DISTINCT timestamp + 43200 AS t FROM {tags}) q
     JOIN {tags} g ON g.branch = '' AND g.timestamp <= q.t GROUP BY t""")
 add("tk_head", lambda t: op.top_by(t.tags, ["branch"], [F.desc("revision")]).select("branch", "name", "revision"), "SELECT branch, arg_max(name, revision) AS name, max(revision) AS revision FROM {tags} GROUP BY branch")
 add("tk_maxchild", lambda t: op.top_by(op.subtree_weights(t.dirents).withColumn("parent", F.regexp_replace("path", "/[^/]*$", "")).filter("weight > 1 and path <> ''"), ["catalog", "parent"], [F.desc("weight"), F.col("path")]).select("catalog", "parent", "path", "weight"), f"""
@@ -139,9 +155,13 @@ GEO = "s_suppkey AS k, (s_suppkey * 37 % 170 - 85)::double AS lat, (s_suppkey *
 add("so_geo", lambda t: t.supplier.select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") * 37 % 170 - 85).cast("double").alias("lat"), (F.col("s_suppkey") * 91 % 360 - 180).cast("double").alias("lon")).select(
         "k", F.round(op.arc(F.lit(46.0), F.lit(6.0), F.col("lat"), F.col("lon")), 6).alias("arc")).orderBy(F.asc_nulls_last("arc"), "k"), f"""
     SELECT k, round(CASE WHEN lat = 46 AND lon = 6 THEN 0 ELSE acos(greatest(-1, least(1, sin(radians(46)) * sin(radians(lat)) + cos(radians(46)) * cos(radians(lat)) * cos(radians(6 - lon))))) END, 6) AS arc FROM (SELECT {GEO} FROM {{supplier}})""")
-add("so_branchtree", lambda t: op.branch_order(t.branches).select("branch", "level", F.array_join("key", "/").alias("key")), """
-    WITH RECURSIVE w AS (SELECT branch, 0 AS level, lpad(branch, 8, ' ') AS key FROM {branches} WHERE parent IS NULL
-      UNION ALL SELECT b.branch, w.level + 1, w.key || '/' || lpad(b.branch, 8, ' ') FROM w JOIN {branches} b ON b.parent = w.branch) SELECT branch, level, key FROM w""")
+add("fn_arc", lambda t: t.supplier.select(F.col("s_suppkey").alias("k"), F.round(op.arc((F.col("s_suppkey") * 37 % 170 - 85).cast("double"), (F.col("s_suppkey") * 91 % 360 - 180).cast("double"), (F.col("s_suppkey") * 53 % 170 - 85).cast("double"), (F.col("s_suppkey") * 17 % 360 - 180).cast("double")), 6).alias("arc")), """
+    SELECT k, round(CASE WHEN a = c AND b = d THEN 0 ELSE acos(greatest(-1, least(1, sin(radians(a)) * sin(radians(c)) + cos(radians(a)) * cos(radians(c)) * cos(radians(b - d))))) END, 6) AS arc
+    FROM (SELECT s_suppkey AS k, (s_suppkey * 37 % 170 - 85)::double AS a, (s_suppkey * 91 % 360 - 180)::double AS b, (s_suppkey * 53 % 170 - 85)::double AS c, (s_suppkey * 17 % 360 - 180)::double AS d FROM {supplier})""")
+add("so_branchtree", lambda t: op.branch_order(t.branches.select(*[F.concat(c, F.lit("-of-2024")).alias(c) for c in ("branch", "parent")], "initial_revision")).select("branch", "level", F.array_join("key", "/").alias("key")), """
+    WITH RECURSIVE b AS (SELECT branch || '-of-2024' AS branch, parent || '-of-2024' AS parent FROM {branches}),
+      w AS (SELECT branch, 0 AS level, branch AS key FROM b WHERE parent IS NULL
+      UNION ALL SELECT b.branch, w.level + 1, w.key || '/' || b.branch FROM w JOIN b ON b.parent = w.branch) SELECT branch, level, key FROM w""")
 add("so_tail", lambda t: t.documents.select("doc_id", op.tail(F.col("text"), 2).alias("tail")), r"""
     SELECT doc_id, array_to_string(list_slice(l, greatest(len(l) - 2, 1), len(l)), chr(10)) AS tail FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {documents})""")
 add("so_logbuf", lambda t: t.ticks.filter("user_id = 3").select("t", "event_id", F.substring(F.concat_ws(" ", F.col("t").cast("string"), "event_type"), 1, 12).alias("line")).orderBy(F.desc("t"), F.desc("event_id")),

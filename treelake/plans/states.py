@@ -96,10 +96,12 @@ add("fn_magic", lambda t: t.chunks.groupBy("path").agg(F.array_join(F.transform(
     "SELECT path, string_agg(hash || ',' || off::bigint || ',' || size, chr(10) ORDER BY off, size, hash) AS chunk_list FROM {chunks} GROUP BY path")
 
 # sources and sinks
-add("src_manifest", lambda t: t.nested.select("path", records.letter_record(F.concat(F.lit("C"), "sha1", F.lit("\nB"), c("size").cast("string"), F.lit("\n--\nXsign"))).alias("m")).select("path", c("m")["C"].alias("root"), c("m")["B"].cast("long").alias("size"), c("m")["X"].alias("after")),
-    "SELECT path, sha1 AS root, size, NULL::varchar AS after FROM {nested}")
-add("src_keyval", lambda t: t.nested.select("path", records.key_values(F.concat(F.lit("a=b=c\nhash="), "sha1")).alias("m")).select("path", c("m")["a"].alias("a"), c("m")["hash"].alias("hash")), "SELECT path, 'b=c' AS a, sha1 AS hash FROM {nested}")
-add("src_graft", lambda t: t.nested.select("path", records.graft(F.concat(F.lit("size="), c("size").cast("string"), F.lit("\nchecksum="), "sha1", F.lit("\nchunk_offsets=0,5\nchunk_checksums=x"), F.when(c("size") % 2 == 0, ",y").otherwise(""))).alias("g")).select("path", "g.size", "g.checksum", "g.n_chunks", "g.valid"),
+add("src_manifest", lambda t: t.nested.select("path", records.letter_record(F.concat(F.lit("Cold\nZx\nC"), "sha1", F.lit("\nB"), c("size").cast("string"), F.lit("\nZy\n--\nXsign\n"))).alias("m")).select("path", c("m")["C"].alias("root"), c("m")["B"].cast("long").alias("size"), c("m")["Z"].alias("z"), F.try_element_at("m", F.lit("X")).alias("after")),
+    "SELECT path, sha1 AS root, size, 'x|y' AS z, NULL::varchar AS after FROM {nested}")
+add("src_keyval", lambda t: t.nested.select("path", records.key_values(F.concat(F.lit("a=0\na=b=c\nhash="), "sha1", F.lit("\n--\nafter=1\n"))).alias("m")).select("path", c("m")["a"].alias("a"), c("m")["hash"].alias("hash"), F.size("m").alias("n")), "SELECT path, 'b=c' AS a, sha1 AS hash, 2 AS n FROM {nested}")
+add("src_idmap", lambda t: t.nested.select("path", records.id_rules(F.concat(F.lit("# ids\n* 99\n\n 1  5\n1 "), c("size").cast("string"), F.when(c("size") % 3 == 0, "\nx 7").otherwise(""))).alias("m")).select("path", "m.valid", "m.default", F.try_element_at("m.rules", F.lit(1).cast("long")).alias("one")),
+    "SELECT path, size % 3 <> 0 AS valid, CASE WHEN size % 3 <> 0 THEN 99 END AS \"default\", CASE WHEN size % 3 <> 0 THEN size END AS one FROM {nested}")
+add("src_graft", lambda t: t.nested.select("path", records.graft(F.concat(F.lit("size="), c("size").cast("string"), F.lit("\nchecksum="), "sha1", F.lit("\nchunk_offsets=0,5\nchunk_checksums=x"), F.when(c("size") % 2 == 0, ",y").otherwise(""), F.lit("\n"))).alias("g")).select("path", "g.size", "g.checksum", "g.n_chunks", "g.valid"),
     "SELECT path, size, sha1 AS checksum, 2 AS n_chunks, size % 2 = 0 AS valid FROM {nested}")
 add("src_dirtab", lambda t: t.nested.select("path", records.rule(F.concat(F.when(c("size") % 3 == 0, "#").when(c("size") % 3 == 1, "! ").otherwise(" "), "path")).alias("r")).filter("r is not null").select("path", "r.negated", "r.pattern"),
     "SELECT path, size % 3 = 1 AS negated, path AS pattern FROM {nested} WHERE size % 3 <> 0")

@@ -6,17 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def finished_lines(text: Column) -> Column:
+    """Lines that end in a newline, up to a line of two hyphens."""
+    lines = F.split(text, "\n")
+    stop = F.array_position(lines, "--")
+    return F.slice(lines, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size(lines) - 1).cast("int"))
+
+
+def merged_map(entries: Column, joined: str | None = None) -> Column:
+    """Map of entries (key, value): of repeated keys the last value counts, but those of the key joined go together, by bars."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    values = lambda k: F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"])
+    one = lambda k: F.when(k == (joined or ""), F.array_join(values(k), "|")).otherwise(F.element_at(values(k), -1)) if joined else F.element_at(values(k), -1)
+    return F.map_from_arrays(keys, F.transform(keys, one))
+
+
 def letter_record(text: Column) -> Column:
-    """Map of the first letter of each line to its rest; reading stops at a line of two hyphens."""
-    lines = F.split(F.split_part(F.concat(text, F.lit("\n")), F.lit("\n--\n"), F.lit(1)), "\n")
-    entries = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct(F.substring(x, 1, 1), F.substring(x, 2, 1 << 20)))
-    return F.map_from_entries(entries)
+    """Map of the first letter of each line to its rest; reading stops at a line of two hyphens. Lines of Z are joined."""
+    lines = F.filter(finished_lines(text), lambda x: x != "")
+    return merged_map(F.transform(lines, lambda x: F.struct(F.left(x, F.lit(1)).alias("key"), F.substr(x, F.lit(2)).alias("value"))), "Z")
 
 
 def key_values(text: Column) -> Column:
-    """Map of key=value lines."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("=")))
-    return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.substring_index(x, "=", 1), F.regexp_replace(x, "^[^=]*=", ""))))
+    """Map of key=value lines; reading stops at a line of two hyphens."""
+    lines = F.filter(finished_lines(text), lambda x: F.contains(x, F.lit("=")))
+    return merged_map(F.transform(lines, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.regexp_replace(x, "^[^=]*=", "").alias("value"))))
+
+
+def id_rules(text: Column) -> Column:
+    """valid, default and rules (map of id to id) of an id mapping file: lines of two numbers, a star for the default.
+
+    Empty lines and comments are passed over; the last rule of an id counts; one wrong line makes the file invalid.
+    """
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r"))), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+    parts = F.transform(lines, lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
+    right = lambda p: (F.size(p) == 2) & F.get(p, F.lit(1)).rlike("^[0-9]+$") & F.get(p, F.lit(0)).rlike("^(?:[*]|[0-9]+)$")
+    valid = F.forall(parts, right)
+    entries = F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0)).alias("key"), F.get(p, F.lit(1)).alias("value")))
+    said = merged_map(F.when(valid, entries).otherwise(F.array().cast("array<struct<key:string,value:string>>")))
+    rules = F.transform_keys(F.transform_values(F.map_filter(said, lambda k, _: k != "*"), lambda _, v: v.cast("long")), lambda k, _: k.cast("long"))
+    return F.struct(valid.alias("valid"), F.try_element_at(said, F.lit("*")).cast("long").alias("default"), rules.alias("rules"))
 
 
 def graft(text: Column) -> Column:
