@@ -256,10 +256,10 @@ def stream_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append([])
                 for block in blocks:
                     words = block["text"].split()
-                    tokens[-1] += [xxhash.xxh64_intdigest(w, 1) >> 1 | 1 for w in words]
+                    tokens[-1] += [xxhash.xxh32_intdigest(w) >> 1 | 1 for w in words]
                     tokens[-1].append(0)
                     sizes[-1].append(len(words) + 1 if block["inside"] else -len(words) - 1)
-            columns = [some["host"], some["key"], some["marked"], pa.array(tokens, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+            columns = [some["host"], some["key"], some["marked"], pa.array(tokens, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["host", "key", "marked", "tokens", "sizes"])
 
 
@@ -335,18 +335,22 @@ MULTIPLIERS = np.random.default_rng(20240808).integers(0, 1 << 63, RUN, dtype=np
 
 
 def run_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, key, marked, tokens, sizes, open) to (host, key, run, inside, places) for each run of a page: a digest within
-    the host, whether it begins an article's run, and where. Runs outside articles count only for hosts with open pages."""
+    """(host, key, marked, tokens, sizes, frequent) to (host, key, run, inside, places) for each run of a page: a digest
+    within the host, whether it is an article's, and where. For hosts without open pages only runs of frequent tokens count."""
     for batch in batches:
-        for host, key, tokens, sizes, open_ in zip(*(batch[c].to_pylist() for c in ("host", "key", "tokens", "sizes", "open"))):
+        for host, key, tokens, sizes, frequent in zip(*(batch[c].to_pylist() for c in ("host", "key", "tokens", "sizes", "frequent"))):
             if len(tokens) < RUN:
                 continue
+            tokens = np.array(tokens, np.int64)
             sizes = np.array(sizes)
             depth = np.cumsum(np.concatenate(([0], np.repeat(sizes > 0, np.abs(sizes)))))
             inside = depth[RUN:] - depth[:-RUN] == RUN
-            runs = np.lib.stride_tricks.sliding_window_view(np.array(tokens, np.int64).view(np.uint64), RUN) @ MULTIPLIERS
+            runs = np.lib.stride_tricks.sliding_window_view(tokens.view(np.uint64), RUN) @ MULTIPLIERS
             runs = ((runs ^ np.uint64(xxhash.xxh64_intdigest(host))) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            places = np.arange(len(runs)) if open_ else np.flatnonzero(inside)
+            places = np.arange(len(runs))
+            if frequent is not None:
+                often = np.cumsum(np.concatenate(([0], np.isin(tokens, frequent))))
+                places = np.flatnonzero(inside & (often[RUN:] - often[:-RUN] == RUN))
             places = places[np.lexsort((places, inside[places], runs[places]))]
             first = np.ones(len(places), bool)
             first[1:] = (runs[places][1:] != runs[places][:-1]) | (inside[places][1:] != inside[places][:-1])
@@ -357,13 +361,22 @@ def run_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def split_host_runs(streams: DataFrame) -> DataFrame:
-    """host, key, kept of pages of large hosts: suffixes meet by the run they start with."""
-    rows = streams.mapInArrow(run_digests, "host string, key string, run long, inside boolean, places array<int>")
+    """host, key, kept of pages of large hosts (with open, least): suffixes meet by the run they start with.
+
+    A run that least pages share is made of tokens that least pages have: where no page is open, others are left out first. Of
+    such tokens a host has few: at least half of its pages with articles have each.
+    """
+    tokens = streams.filter("open = 0").select("host", "least", F.explode(F.array_distinct("tokens")).alias("token"))
+    often = tokens.groupBy("host", "token").agg(F.count("*").alias("n"), F.first("least").alias("least")).filter("n >= least")
+    often = stored(often.groupBy("host").agg(F.collect_set("token").alias("frequent")), "html-frequent")
+    none = F.when(F.col("open") == 0, F.array().cast("array<int>"))
+    rows = streams.join(often, "host", "left").withColumn("frequent", F.coalesce("frequent", none))
+    rows = rows.select("host", "key", "tokens", "sizes", "frequent").mapInArrow(run_digests, "host string, key string, run long, inside boolean, places array<int>")
     rows = stored(rows, "html-runs")
     page = F.xxhash64("key")
     runs = rows.groupBy("run").agg((F.min(page) != F.max(page)).alias("shared"), F.count_if("inside").alias("articles")).filter("shared")
     hosts = streams.select("host", "least").distinct()
-    hit = rows.join(stored(runs, "html-shared"), "run").join(F.broadcast(hosts), "host")
+    hit = rows.join(stored(runs, "html-shared"), "run").join(hosts, "host")
     pages = streams.select("host", "key", "marked", "sizes")
     hit = hit.join(pages.select("host", "key", "marked"), ["host", "key"])
     hit = hit.filter(~F.col("marked") | (F.col("inside") & (F.col("articles") >= F.col("least"))))
@@ -381,8 +394,9 @@ def split_host_runs(streams: DataFrame) -> DataFrame:
 
 def boilerplate(pages: DataFrame, host_tokens: int = HOST_TOKENS) -> DataFrame:
     """host, key, kept (which blocks stay) of distinct pages that lose blocks to shared runs."""
-    streams = pages.select("host", "key", "marked", "blocks").mapInArrow(stream_rows, "host string, key string, marked boolean, tokens array<long>, sizes array<int>")
-    streams = stored(streams.dropDuplicates(["host", "key"]), "html-streams")
+    distinct = stored(pages.groupBy("host", "key").agg(F.min("row").alias("row")).select("row"), "html-distinct")
+    streams = pages.join(distinct, "row", "left_semi").select("host", "key", "marked", "blocks").mapInArrow(stream_rows, "host string, key string, marked boolean, tokens array<int>, sizes array<int>")
+    streams = stored(streams, "html-streams", compression="zstd")
     hosts = streams.groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.size("tokens")).alias("n"), F.count_if("marked").alias("articles")).withColumn("open", F.col("pages") - F.col("articles"))
     hosts = stored(hosts.filter("pages > 1"), "html-hosts")
     kept = streams.join(hosts.filter(F.col("n") <= host_tokens).select("host"), "host").groupBy("host").applyInPandas(host_runs, "host string, key string, kept array<boolean>")
@@ -395,8 +409,9 @@ def boilerplate(pages: DataFrame, host_tokens: int = HOST_TOKENS) -> DataFrame:
 
 def main_text(pages: DataFrame, host_tokens: int = HOST_TOKENS) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("key"), "html")
-    rows = stored(rows.mapInArrow(block_rows, BLOCK_ROWS), "html-blocks")
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.md5(F.coalesce("html", F.lit(""))).alias("key"), "html")
+    rows = rows.mapInArrow(block_rows, BLOCK_ROWS).withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows, "html-blocks", compression="zstd")
     rows = rows.join(boilerplate(rows, host_tokens), ["host", "key"], "left")
     stays = lambda b, i: (b["inside"] | ~F.col("marked")) & (F.col("kept").isNull() | F.get("kept", i))
     text = F.array_join(F.transform(F.filter("blocks", stays), lambda b: b["text"]), "\n\n")
