@@ -35,7 +35,9 @@ RUN = 8
 #: Share of a host's pages with articles, and pages at least, that have a run there if it is the site's.
 SITE_SHARE, SITE_PAGES = 0.5, 4
 #: Tokens of a host's stream beyond which its suffix array is split.
-HOST_TOKENS = 1_000_000
+HOST_TOKENS = 250_000
+#: Counts of tokens that a task holds at once.
+HELD = 500_000
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+)""")
 #: Names of elements by their part in a page.
@@ -230,7 +232,7 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-BLOCK_ROWS = "page_id long, url string, host string, key string, marked boolean, blocks array<struct<text:string,inside:boolean>>"
+BLOCK_ROWS = "page_id long, url string, host string, key string, marked boolean, n long, blocks array<struct<text:string,inside:boolean>>"
 
 
 def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,12 +243,13 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = batch.slice(start, 256)
             pages = [read_page(h or "") for h in some["html"].to_pylist()]
             hosts = pa.array([host_of(u) for u in some["url"].to_pylist()], pa.string())
+            sizes = pa.array([sum(t.count(" ") + 2 for t, _ in p.blocks) for p in pages], pa.int64())
             said = pa.array([[{"text": t, "inside": i} for t, i in p.blocks] for p in pages], blocks)
-            yield pa.RecordBatch.from_arrays([some["page_id"], some["url"], hosts, some["key"], pa.array([p.marked for p in pages], pa.bool_()), said], ["page_id", "url", "host", "key", "marked", "blocks"])
+            yield pa.RecordBatch.from_arrays([some["page_id"], some["url"], hosts, some["key"], pa.array([p.marked for p in pages], pa.bool_()), sizes, said], ["page_id", "url", "host", "key", "marked", "n", "blocks"])
 
 
 def stream_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, key, marked, blocks) to (host, key, marked, tokens, sizes): digests of words, 0 at block ends; tokens of each
+    """(host, key, marked, blocks, frequent) to (host, key, marked, tokens, sizes, frequent): digests of words, 0 at block ends; tokens of each
     block with its end, negative outside the marked article."""
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -259,8 +262,33 @@ def stream_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     tokens[-1] += [xxhash.xxh32_intdigest(w) >> 1 | 1 for w in words]
                     tokens[-1].append(0)
                     sizes[-1].append(len(words) + 1 if block["inside"] else -len(words) - 1)
-            columns = [some["host"], some["key"], some["marked"], pa.array(tokens, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "key", "marked", "tokens", "sizes"])
+            columns = [some["host"], some["key"], some["marked"], pa.array(tokens, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), some["frequent"]]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "key", "marked", "tokens", "sizes", "frequent"])
+
+
+STREAM_ROWS = "host string, key string, marked boolean, tokens array<int>, sizes array<int>, frequent array<int>"
+
+
+def often_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams to (host, frequent): tokens that at least SITE_SHARE of the host's pages here have. What so many of all its
+    pages have, so many of its pages in one of the parts have."""
+    pages: Counter[str] = Counter()
+    counts: dict[str, Counter[int]] = {}
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        found = [[t for t, n in counts[h].items() if n >= SITE_SHARE * pages[h]] for h in counts]
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(found, pa.list_(pa.int32()))], ["host", "frequent"])
+        pages.clear(), counts.clear()
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            some = batch.slice(start, 256)
+            for host, tokens in zip(some["host"].to_pylist(), some["tokens"].to_pylist()):
+                pages[host] += 1
+                counts.setdefault(host, Counter()).update(set(tokens))
+            if sum(map(len, counts.values())) > HELD:
+                yield from settle()
+    yield from settle()
 
 
 def suffix_ranks(tokens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -360,24 +388,23 @@ def run_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array([key] * n, pa.string()), pa.array(runs[some]), pa.array(inside[some]), lists], ["host", "key", "run", "inside", "places"])
 
 
-def split_host_runs(streams: DataFrame) -> DataFrame:
+def split_host_runs(pages: DataFrame) -> DataFrame:
     """host, key, kept of pages of large hosts (with open, least): suffixes meet by the run they start with.
 
     A run that least pages share is made of tokens that least pages have: where no page is open, others are left out first. Of
-    such tokens a host has few: at least half of its pages with articles have each.
+    such tokens a host has few: about half of its pages with articles have each.
     """
-    tokens = streams.filter("open = 0").select("host", "least", F.explode(F.array_distinct("tokens")).alias("token"))
-    often = tokens.groupBy("host", "token").agg(F.count("*").alias("n"), F.first("least").alias("least")).filter("n >= least")
-    often = stored(often.groupBy("host").agg(F.collect_set("token").alias("frequent")), "html-frequent")
-    none = F.when(F.col("open") == 0, F.array().cast("array<int>"))
-    rows = streams.join(often, "host", "left").withColumn("frequent", F.coalesce("frequent", none))
-    rows = rows.select("host", "key", "tokens", "sizes", "frequent").mapInArrow(run_digests, "host string, key string, run long, inside boolean, places array<int>")
+    no_list = F.lit(None).cast("array<int>").alias("frequent")
+    marked = pages.filter("open = 0").select("host", "key", "marked", "blocks", no_list).mapInArrow(stream_rows, STREAM_ROWS)
+    often = marked.select("host", "tokens").mapInArrow(often_rows, "host string, frequent array<int>")
+    often = stored(often.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("frequent"))).alias("frequent")), "html-frequent")
+    rows = pages.join(often, "host", "left").select("host", "key", "marked", "blocks", F.when(F.col("open") == 0, F.coalesce("frequent", F.array().cast("array<int>"))).alias("frequent"))
+    rows = rows.mapInArrow(stream_rows, STREAM_ROWS).select("host", "key", "tokens", "sizes", "frequent").mapInArrow(run_digests, "host string, key string, run long, inside boolean, places array<int>")
     rows = stored(rows, "html-runs")
     page = F.xxhash64("key")
     runs = rows.groupBy("run").agg((F.min(page) != F.max(page)).alias("shared"), F.count_if("inside").alias("articles")).filter("shared")
-    hosts = streams.select("host", "least").distinct()
+    hosts = pages.select("host", "least").distinct()
     hit = rows.join(stored(runs, "html-shared"), "run").join(hosts, "host")
-    pages = streams.select("host", "key", "marked", "sizes")
     hit = hit.join(pages.select("host", "key", "marked"), ["host", "key"])
     hit = hit.filter(~F.col("marked") | (F.col("inside") & (F.col("articles") >= F.col("least"))))
     places = hit.groupBy("host", "key").agg(F.flatten(F.collect_list("places")).alias("places"))
@@ -388,22 +415,24 @@ def split_host_runs(streams: DataFrame) -> DataFrame:
             kept = [kept_blocks(covered_by(np.array(p), int(np.abs(x).sum()), RUN), x) for p, x in zip(batch["places"].to_pylist(), sizes)]
             yield pa.RecordBatch.from_arrays([batch["host"], batch["key"], pa.array([k.tolist() for k in kept], pa.list_(pa.bool_()))], ["host", "key", "kept"])
 
-    found = places.join(pages, ["host", "key"]).select("host", "key", "places", "sizes")
+    size = lambda b: (F.size(F.split(b["text"], " ")) + 1) * F.when(b["inside"], 1).otherwise(-1)
+    found = pages.join(places, ["host", "key"]).select("host", "key", "places", F.transform("blocks", size).alias("sizes"))
     return found.mapInArrow(task, "host string, key string, kept array<boolean>").filter(~F.forall("kept", lambda k: k))
 
 
 def boilerplate(pages: DataFrame, host_tokens: int = HOST_TOKENS) -> DataFrame:
     """host, key, kept (which blocks stay) of distinct pages that lose blocks to shared runs."""
     distinct = stored(pages.groupBy("host", "key").agg(F.min("row").alias("row")).select("row"), "html-distinct")
-    streams = pages.join(distinct, "row", "left_semi").select("host", "key", "marked", "blocks").mapInArrow(stream_rows, "host string, key string, marked boolean, tokens array<int>, sizes array<int>")
-    streams = stored(streams, "html-streams", compression="zstd")
-    hosts = streams.groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.size("tokens")).alias("n"), F.count_if("marked").alias("articles")).withColumn("open", F.col("pages") - F.col("articles"))
+    pages = pages.join(distinct, "row", "left_semi").select("host", "key", "marked", "n", "blocks")
+    hosts = pages.groupBy("host").agg(F.count("*").alias("pages"), F.sum("n").alias("n"), F.count_if("marked").alias("articles")).withColumn("open", F.col("pages") - F.col("articles"))
     hosts = stored(hosts.filter("pages > 1"), "html-hosts")
-    kept = streams.join(hosts.filter(F.col("n") <= host_tokens).select("host"), "host").groupBy("host").applyInPandas(host_runs, "host string, key string, kept array<boolean>")
+    small = pages.join(hosts.filter(F.col("n") <= host_tokens).select("host"), "host").select("host", "key", "marked", "blocks", F.lit(None).cast("array<int>").alias("frequent"))
+    small = small.mapInArrow(stream_rows, STREAM_ROWS).select("host", "key", "marked", "tokens", "sizes")
+    kept = small.groupBy("host").applyInPandas(host_runs, "host string, key string, kept array<boolean>")
     large = hosts.filter(F.col("n") > host_tokens)
     if not large.isEmpty():
         least = F.greatest(F.lit(SITE_PAGES), F.ceil(F.col("articles") * SITE_SHARE)).alias("least")
-        kept = kept.unionByName(split_host_runs(streams.join(large.select("host", "open", least), "host")))
+        kept = kept.unionByName(split_host_runs(pages.join(large.select("host", "open", least), "host")))
     return stored(kept, "html-kept")
 
 
