@@ -133,6 +133,7 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
     rounds = [min(MOST, int(t // n)) if n else 0 for t, (_, n) in zip(target, found)]
     plan = [(s, n, t, q, int(t - q * n)) for (s, n), t, q in zip(found, target, rounds)]
     plan = spark.createDataFrame(plan, "source string, source_size long, target double, rounds int, rest long")
+    plan = stored(plan, "mix-plan")  # so that Spark knows its size and picks the join
 
     # Documents along the permutation, then those that still fit, until none does.
     state = stored(rows.withColumn("in_rest", F.lit(False)), "mix-state")
@@ -158,6 +159,7 @@ def mix(docs: DataFrame, seed: int = 7, shards: int = SHARDS) -> DataFrame:
     draws = [q * BLOCKS + ends.get(s, 0) for (s, _), q in zip(found, rounds)]
     upto = np.cumsum(split_draws(draws, shards, seed), axis=0)
     dealt = spark.createDataFrame([(s, upto[:, i].tolist()) for i, (s, _) in enumerate(found)], "source string, ends array<long>")
+    dealt = stored(dealt, "mix-dealt")
     out = joined(joined(state, plan.drop("rest")), dealt)
     times = F.least(F.col("rounds") + F.col("in_rest").cast("int"), F.lit(MOST))
     draw = lambda k: k * BLOCKS + F.col("block")
