@@ -1,17 +1,22 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
-The suffixes of a text are its windows of WINDOW words. A window's group is named by one of its GRAM-word grams, that
-with the smallest digest: equal windows choose equal grams, at the same place, so all copies of a window meet in one
-group, and neighbouring windows share their gram. Groups seen at one place only cannot repeat and are left out. Groups that fit
-in memory are gathered, and their windows sorted into the group's subtree, cut at depth WINDOW: its internal nodes there
-are the repeated windows. Groups with more than GROUP places are split by a longer prefix, the whole window, where the
-node is known from the smallest and largest context alone and nothing is gathered. The union of repeated windows is the
-union of the maximal repeats of at least WINDOW words, the same document included.
-
-Equal texts are one content with several rows: their windows repeat by that alone, and count once against others.
+Only sampled suffixes are shuffled: those that start at the GRAM-word gram with the smallest digest of some window of WINDOW
+words. Equal windows have their sample at the same place, and neighbouring windows share one, so a run of windows goes
+with its sample as one stretch of words. A group is the stretches whose sampled suffix has the same prefix of GRAM words;
+prefixes seen at one place only cannot repeat and are left out before any text moves. Equal stretches are one, found by
+grouping on the words themselves. A group of at most GROUP distinct stretches is gathered with others into a task, which
+sorts the suffixes of its stretches to depth WINDOW: the ranks of the last doubling are the subtrees' internal nodes of at
+least that depth, over words, not digests. Where a prefix has more stretches it is lengthened to the whole window: Spark
+groups on its words, and nothing is gathered. The union of those nodes' windows is the union of the maximal repeats of at
+least WINDOW words, the same document included.
+
+Digests name prefixes, which only decides what meets; what is removed is equal word by word. Texts and stretches are named
+by 128 bits of SHA-256 and BLAKE2b. Equal texts are one content with several rows: their windows repeat by that alone,
+and count once against others.
 
 Defined results: a null text counts as empty, has no words and keeps the empty text; texts shorter than a window
-lose nothing; repeated rows are copies of each other; an empty table gives no rows; other columns are ignored.
+lose nothing; very long texts are read whole; repeated rows are copies of each other; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,24 +26,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelake.llm.common import stored, table
+from treelake.llm.common import rows_about, stored, table
 
 WINDOW, GRAM = 35, 8
-#: Places of a gram beyond which its group is split by whole windows.
+#: Distinct stretches of a prefix beyond which it is lengthened to the whole window.
 GROUP = 2000
-#: Rows of gathered groups per task.
-TASK_ROWS = 100_000
+#: Stretches of gathered groups per task.
+TASK_ROWS = 50_000
+#: Rows whose marks are Python objects at once.
+ROWS_AT_ONCE = 500
 #: Bytes of text read at once, unless one text is longer.
-BYTES_AT_ONCE = 1 << 21
-PLACE_BITS = 28
+BYTES_AT_ONCE = 1 << 20
+#: Bits of a word's number within a text; a Spark string has fewer than 2 to the 31 bytes.
+PLACE_BITS = 32
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 _RANDOM = np.random.default_rng(20240101)
 BYTE_VALUES = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -69,7 +78,7 @@ def ranges_digest(values: np.ndarray, low: np.ndarray, high: np.ndarray, base: i
 
 
 class Texts:
-    """Word digests, window owners and gram digests of some texts at once."""
+    """Word digests, sampled suffixes and prefix digests of some texts at once."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         space = SPACES[data]
@@ -99,13 +108,11 @@ class Texts:
         else:
             self.grams, self.owner, self.runs = np.zeros(0, np.uint64), self.at, self.at
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each run of windows with one owner: text, first window within the text, gram digest."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each run of windows with one sample: text, first window within the text, number of windows, prefix digest."""
         at = self.at[self.runs]
-        return self.of[at], at - self.first[self.of[at]], self.grams[self.owner[self.runs]]
-
-    def window_digests(self) -> np.ndarray:
-        return ranges_digest(self.words, self.at, self.at + WINDOW, BASES[2])
+        counts = np.diff(np.append(self.runs, len(self.at)))
+        return self.of[at], at - self.first[self.of[at]], counts, self.grams[self.owner[self.runs]]
 
 
 def some_texts(column: pa.Array) -> Iterator[tuple[int, Texts]]:
@@ -123,68 +130,87 @@ def some_texts(column: pa.Array) -> Iterator[tuple[int, Texts]]:
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ka, kb, text) to (gram, ka, kb, first) for every run of windows."""
+    """(ka, kb, text) to (gram, ka, kb, first, windows) for every run of windows."""
     for batch in batches:
         ka, kb = batch["ka"].to_numpy(), batch["kb"].to_numpy()
         for start, texts in some_texts(batch["text"]):
-            of, first, gram = texts.anchors()
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ka[start + of]), pa.array(kb[start + of]), pa.array(first.astype("i4"))], ["gram", "ka", "kb", "first"])
+            of, first, windows, gram = texts.anchors()
+            columns = [pa.array(gram.view(np.int64)), pa.array(ka[start + of]), pa.array(kb[start + of]), pa.array(first.astype("i4")), pa.array(windows.astype("i4"))]
+            yield pa.RecordBatch.from_arrays(columns, ["gram", "ka", "kb", "first", "windows"])
 
 
-def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ka, kb, text, marks) to (gram, ka, kb, first, large, windows) for the marked runs; windows are packed digests."""
+def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ka, kb, text, marks) to (gram, ka, kb, first, windows, ca, cb, stretch) for the marked runs; ca and cb name the stretch."""
     for batch in batches:
-        ka, kb, marks = batch["ka"].to_numpy(), batch["kb"].to_numpy(), batch["marks"].to_pylist()
-        for start, texts in some_texts(batch["text"]):
-            of, first, gram = texts.anchors()
-            digests, ends = texts.window_digests(), np.append(texts.runs[1:], len(texts.at))
-            wanted = [dict((m["first"], m["large"]) for m in ms) for ms in marks[start : start + len(texts.first)]]
-            picked = [r for r, (t, f) in enumerate(zip(of.tolist(), first.tolist())) if f in wanted[t]]
-            large = [wanted[of[r]][first[r]] for r in picked]
-            packed = [digests[texts.runs[r] : ends[r]].tobytes() for r in picked]
-            of, first, gram = of[picked], first[picked], gram[picked]
-            columns = [pa.array(gram.view(np.int64)), pa.array(ka[start + of]), pa.array(kb[start + of]), pa.array(first.astype("i4")), pa.array(large, pa.bool_()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["gram", "ka", "kb", "first", "large", "windows"])
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            some = batch.slice(start, ROWS_AT_ONCE)
+            row, grams, firsts, windows, names, stretches = [], [], [], [], [], []
+            for i, (text, marks) in enumerate(zip(some["text"], some["marks"])):
+                words = text.as_py().encode().split()
+                for mark in marks.as_py():
+                    stretch = b" ".join(words[mark["first"] : mark["first"] + mark["windows"] + WINDOW - 1])
+                    row.append(i)
+                    grams.append(mark["gram"])
+                    firsts.append(mark["first"])
+                    windows.append(mark["windows"])
+                    names.append(hashlib.blake2b(stretch, digest_size=16).digest())
+                    stretches.append(stretch)
+            name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            row = pa.array(row, pa.int32())
+            columns = [pa.array(grams, pa.int64()), some["ka"].take(row), some["kb"].take(row), pa.array(firsts, pa.int32()), pa.array(windows, pa.int32())]
+            columns += [pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(stretches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["gram", "ka", "kb", "first", "windows", "ca", "cb", "stretch"])
+
+
+def deep_ranks(words: np.ndarray) -> np.ndarray:
+    """Rank of each suffix of words among all, by its first WINDOW words: sorted by doubled prefixes of ranks."""
+    rank, depth = words.astype(np.int64), 1
+    while depth < WINDOW:
+        step = min(depth, WINDOW - depth)
+        ahead = np.zeros(len(rank), np.int64)
+        ahead[: len(rank) - step] = rank[step:] + 1
+        rank = np.unique(rank * (int(rank.max()) + 2) + ahead, return_inverse=True)[1]
+        depth += step
+    return rank
 
 
 def subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole groups to (ka, kb, first, mask): bit i of mask tells that window first + i is an internal node's leaf."""
+    """Stretches of whole groups to (ca, cb, mask): bit i of mask tells that window i is a leaf of a deep internal node."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     gathered = pa.Table.from_batches(held)
-    ka, kb, first, gram = (gathered[c].to_numpy() for c in ("ka", "kb", "first", "gram"))
-    order = np.lexsort((first, kb, ka, gram))
-    same = np.zeros(len(order), bool)
-    same[1:] = np.all([x[order][1:] == x[order][:-1] for x in (ka, kb, first, gram)], axis=0)
-    order = order[~same]  # a content that several rows brought counts once
-    windows = gathered["windows"].take(pa.array(order)).to_pylist()
-    counts = np.array([len(w) // 8 for w in windows])
-    leaves = np.frombuffer(b"".join(windows), np.uint64)
-    row = np.repeat(np.arange(len(order)), counts)
-    group = np.repeat(np.unique(gram[order], return_inverse=True)[1], counts)
-    sort = np.lexsort((leaves, group))
-    equal = (leaves[sort][1:] == leaves[sort][:-1]) & (group[sort][1:] == group[sort][:-1])
-    node = np.zeros(len(leaves), bool)
-    node[sort[1:][equal]] = node[sort[:-1][equal]] = True
-    place = np.arange(len(leaves)) - np.repeat(np.cumsum(counts) - counts, counts)
-    mask = np.zeros(len(order), np.int64)
+    stretches = gathered["stretch"].combine_chunks().cast(pa.large_binary())
+    lists = pc.split_pattern(stretches, b" ")
+    words = lists.flatten().dictionary_encode().indices.to_numpy()
+    counts = pc.list_value_length(lists).to_numpy()
+    starts = np.cumsum(counts) - counts
+    rank = deep_ranks(words)
+    windows = counts - WINDOW + 1
+    row = np.repeat(np.arange(len(counts)), windows)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    leaves = rank[starts[row] + place]
+    node = np.bincount(leaves)[leaves] > 1
+    mask = np.zeros(len(counts), np.int64)
     np.bitwise_or.at(mask, row[node], np.int64(1) << place[node])
-    hit = mask != 0
-    order, mask = order[hit], mask[hit]
-    yield pa.RecordBatch.from_arrays([pa.array(ka[order]), pa.array(kb[order]), pa.array(first[order]), pa.array(mask)], ["ka", "kb", "first", "mask"])
+    hit = pa.array(np.flatnonzero(mask))
+    yield pa.RecordBatch.from_arrays([gathered["ca"].take(hit).combine_chunks(), gathered["cb"].take(hit).combine_chunks(), pa.array(mask[mask != 0])], ["ca", "cb", "mask"])
 
 
 def leaf_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of large groups to one row per window: (node, gram, context, place, copied)."""
+    """Stretches of split groups to one row per window: (window, ca, cb, place)."""
     for batch in batches:
-        windows = batch["windows"].to_pylist()
-        counts = np.array([len(w) // 8 for w in windows], dtype=np.int64)
-        row = np.repeat(np.arange(len(windows)), counts)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        leaves = np.frombuffer(b"".join(windows), np.int64)
-        of = lambda c: batch[c].take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([pa.array(leaves), of("gram"), of("context"), pa.array(place.astype("i4")), of("copied")], ["node", "gram", "context", "place", "copied"])
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            some = batch.slice(start, ROWS_AT_ONCE)
+            row, windows, places = [], [], []
+            for i, stretch in enumerate(some["stretch"].to_pylist()):
+                words = stretch.split(b" ")
+                for place in range(len(words) - WINDOW + 1):
+                    row.append(i)
+                    windows.append(b" ".join(words[place : place + WINDOW]))
+                    places.append(place)
+            row = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), some["ca"].take(row), some["cb"].take(row), pa.array(places, pa.int32())], ["window", "ca", "cb", "place"])
 
 
 def kept_words(text: str | None, marks: list[dict] | None, copied: bool) -> tuple[list[bytes], int]:
@@ -206,44 +232,40 @@ def kept_words(text: str | None, marks: list[dict] | None, copied: bool) -> tupl
     return [w for w, g in zip(words, gone.tolist()) if not g], len(words)
 
 
-def split_groups(runs: DataFrame) -> DataFrame:
-    """(ka, kb, first, mask) of runs of large groups. Runs with equal windows are one context: its windows repeat if it
-    stands at two places; else a window repeats if another context has it too."""
-    runs = runs.withColumn("context", F.xxhash64("gram", "windows"))
-    place = F.xxhash64("ka", "kb", "first")
-    contexts = runs.groupBy("gram", "context").agg(F.first("windows").alias("windows"), (F.min(place) != F.max(place)).alias("copied"))
-    contexts = stored(contexts, "substring-contexts")
-    leaves = stored(contexts.mapInArrow(leaf_rows, "node long, gram long, context long, place int, copied boolean"), "substring-leaves")
-    leaves = leaves.withColumn("node", F.xxhash64("node", "gram"))
-    nodes = leaves.groupBy("node").agg((F.min("context") != F.max("context")).alias("internal")).filter("internal").select("node")
-    hit = leaves.filter("not copied").join(stored(nodes, "substring-nodes"), "node")
-    masks = stored(hit.groupBy("gram", "context").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask")), "substring-masks")
-    places = runs.select("gram", "context", "ka", "kb", "first", F.expr("octet_length(windows) div 8").alias("count"))
-    copied = stored(contexts.filter("copied").select("gram", "context"), "substring-copied")
-    whole = places.join(copied, ["gram", "context"], "left_semi").withColumn("mask", F.lit(-1).cast("long"))
-    single = places.join(masks, ["gram", "context"])  # contexts at one place each
-    out = whole.unionByName(single)
-    return out.select("ka", "kb", "first", F.col("mask").bitwiseAND(F.expr("shiftleft(1L, cast(count as int)) - 1")).alias("mask")).distinct()
+def split_groups(stretches: DataFrame) -> DataFrame:
+    """(ca, cb, mask) of distinct stretches whose prefix is lengthened to the whole window: one with two places is a node."""
+    leaves = stretches.select("ca", "cb", "stretch").mapInArrow(leaf_rows, "window binary, ca long, cb long, place int")
+    nodes = stored(leaves.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"), "substring-nodes", compression="zstd")
+    return leaves.join(nodes, "window").groupBy("ca", "cb").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
 
 
 def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """ka, kb, copied, marks of every content with repeated windows: marks are (first, mask) of runs of windows."""
     rows = docs.select("ka", "kb", "doc_id", "text")
     contents = stored(rows.groupBy("ka", "kb").agg(F.count("*").alias("rows"), F.min("doc_id").alias("one")), "substring-contents")
-    anchors = stored(rows.select("ka", "kb", "text").mapInArrow(anchor_rows, "gram long, ka long, kb long, first int"), "substring-anchors")
+    anchors = rows.select("ka", "kb", "text").mapInArrow(anchor_rows, "gram long, ka long, kb long, first int, windows int")
+    anchors = stored(anchors, "substring-anchors")
     place = F.xxhash64("ka", "kb", "first")
-    grams = anchors.groupBy("gram").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("places"))
-    grams = stored(grams.filter("low <> high").select("gram", (F.col("places") > group).alias("large")), "substring-grams")
-    marks = anchors.join(grams, "gram").groupBy("ka", "kb").agg(F.collect_set(F.struct("first", "large")).alias("marks"))
-    marks = stored(marks.join(contents, ["ka", "kb"]).select("ka", "kb", "one", "marks"), "substring-marks")
-    one = rows.join(marks, ["ka", "kb"]).filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("ka", "kb", "text", "marks")
-    runs = one.mapInArrow(window_rows, "gram long, ka long, kb long, first int, large boolean, windows binary")
-    runs = stored(runs, "substring-runs")
-    small = runs.filter("not large")
-    parts = max(1, -(-small.count() // TASK_ROWS))
-    found = small.repartition(parts, "gram").mapInArrow(subtree_rows, "ka long, kb long, first int, mask long")
-    found = found.unionByName(split_groups(runs.filter("large").drop("large")))
-    found = found.groupBy("ka", "kb").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
+    grams = anchors.groupBy("gram").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("gram")
+    marks = anchors.join(stored(grams, "substring-grams"), "gram").groupBy("ka", "kb").agg(F.collect_set(F.struct("first", "windows", "gram")).alias("marks"))
+    marks = stored(marks.join(contents, ["ka", "kb"]).select("ka", "kb", F.col("one").alias("doc_id"), "marks"), "substring-marks")
+    same = [rows[c].eqNullSafe(marks[c]) for c in ("ka", "kb", "doc_id")]
+    one = rows.join(marks, same).select(rows["ka"], rows["kb"], "text", "marks")  # a content's copies spread by doc_id
+    runs = one.mapInArrow(stretch_rows, "gram long, ka long, kb long, first int, windows int, ca long, cb long, stretch binary")
+    runs = stored(runs, "substring-runs", compression="zstd")
+    # A content brought by several rows of one doc_id has its places several times, hence not their count.
+    distinct = runs.groupBy("gram", "ca", "cb", "stretch").agg((F.min(place) != F.max(place)).alias("copied"))
+    distinct = stored(distinct, "substring-stretches", compression="zstd")
+    large = distinct.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("gram", F.lit(True).alias("large"))
+    once = distinct.join(stored(large, "substring-large"), "gram", "left")
+    small = once.filter("large is null")
+    found = small.repartition(rows_about(distinct, TASK_ROWS), "gram").select("ca", "cb", "stretch").mapInArrow(subtree_rows, "ca long, cb long, mask long")
+    found = found.unionByName(split_groups(once.filter("large")))
+    whole = distinct.filter("copied").select("ca", "cb", F.lit(-1).cast("long").alias("mask"))
+    masks = stored(found.unionByName(whole).groupBy("ca", "cb").agg(F.bit_or("mask").alias("mask")), "substring-masks")
+    found = runs.select("ca", "cb", "ka", "kb", "first", "windows").join(masks, ["ca", "cb"])
+    found = found.withColumn("mask", F.expr("mask & (shiftleft(1L, windows) - 1)"))
+    found = found.groupBy("ka", "kb").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
     copied = contents.filter("rows > 1").select("ka", "kb", F.lit(True).alias("copied"))
     both = found.join(copied, ["ka", "kb"], "full")
     return stored(both.select("ka", "kb", F.coalesce("copied", F.lit(False)).alias("copied"), "marks"), "substring-repeats")
@@ -251,7 +273,9 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("ka"), F.xxhash64(F.lit(1), text).alias("kb"))
+    sha = F.unhex(F.sha2(text, 256))
+    half = lambda at: F.conv(F.hex(F.substring(sha, at, 8)), 16, -10).cast("long")
+    return docs.select("doc_id", text.alias("text"), half(1).alias("ka"), half(9).alias("kb"))
 
 
 def with_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
