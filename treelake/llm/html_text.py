@@ -323,7 +323,8 @@ def kept_blocks(covered: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def host_runs(rows: pd.DataFrame) -> pd.DataFrame:
-    """One host's pages to the masks of kept blocks of those that lose some."""
+    """One host's pages to the masks of kept blocks of those that lose some; equal pages are one."""
+    rows = rows.drop_duplicates("key")
     sizes = [np.asarray(x, np.int64) for x in rows["sizes"]]
     found = shared_runs([np.asarray(t, np.int64) for t in rows["tokens"]], [np.repeat(x > 0, np.abs(x)) for x in sizes], rows["marked"].to_numpy(bool))
     kept = [kept_blocks(c, x) for c, x in zip(found, sizes)]
@@ -335,10 +336,10 @@ MULTIPLIERS = np.random.default_rng(20240808).integers(0, 1 << 63, RUN, dtype=np
 
 
 def run_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, key, marked, tokens, sizes, frequent) to (host, key, run, inside, places) for each run of a page: a digest
-    within the host, whether it is an article's, and where. For hosts without open pages only runs of frequent tokens count."""
+    """(host, key, marked, tokens, sizes, frequent) to (host, key, marked, run, inside, places) for each run of a page: a
+    digest within the host, whether it is an article's, and where. For hosts without open pages only runs of frequent tokens count."""
     for batch in batches:
-        for host, key, tokens, sizes, frequent in zip(*(batch[c].to_pylist() for c in ("host", "key", "tokens", "sizes", "frequent"))):
+        for host, key, marked, tokens, sizes, frequent in zip(*(batch[c].to_pylist() for c in ("host", "key", "marked", "tokens", "sizes", "frequent"))):
             if len(tokens) < RUN:
                 continue
             tokens = np.array(tokens, np.int64)
@@ -357,30 +358,29 @@ def run_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(first)
             lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(places)).astype("i4")), pa.array(places.astype("i4")))
             n, some = len(starts), places[starts]
-            yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array([key] * n, pa.string()), pa.array(runs[some]), pa.array(inside[some]), lists], ["host", "key", "run", "inside", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array([key] * n, pa.string()), pa.array([marked] * n, pa.bool_()), pa.array(runs[some]), pa.array(inside[some]), lists], ["host", "key", "marked", "run", "inside", "places"])
 
 
-def split_host_runs(streams: DataFrame) -> DataFrame:
+def split_host_runs(streams: DataFrame, pages: DataFrame) -> DataFrame:
     """host, key, kept of pages of large hosts (with open, least): suffixes meet by the run they start with.
 
     A run that least pages share is made of tokens that least pages have: where no page is open, others are left out first. Of
-    such tokens a host has few: at least half of its pages with articles have each.
+    such tokens a host has few: at least half of its pages with articles have each. Equal pages, which pages has once, only
+    add to these tokens; runs count pages by their keys.
     """
     tokens = streams.filter("open = 0").select("host", "least", F.explode(F.array_distinct("tokens")).alias("token"))
-    often = tokens.groupBy("host", "token").agg(F.count("*").alias("n"), F.first("least").alias("least")).filter("n >= least")
+    often = tokens.groupBy("host", "least", "token").agg(F.count("*").alias("n")).filter("n >= least")
     often = stored(often.groupBy("host").agg(F.collect_set("token").alias("frequent")), "html-frequent")
     none = F.when(F.col("open") == 0, F.array().cast("array<int>"))
     rows = streams.join(often, "host", "left").withColumn("frequent", F.coalesce("frequent", none))
-    rows = rows.select("host", "key", "tokens", "sizes", "frequent").mapInArrow(run_digests, "host string, key string, run long, inside boolean, places array<int>")
-    rows = stored(rows, "html-runs")
-    page = F.xxhash64("key")
-    runs = rows.groupBy("run").agg((F.min(page) != F.max(page)).alias("shared"), F.count_if("inside").alias("articles")).filter("shared")
+    rows = rows.select("host", "key", "marked", "tokens", "sizes", "frequent").mapInArrow(run_digests, "host string, key string, marked boolean, run long, inside boolean, places array<int>")
+    rows = stored(rows, "html-runs", compression="zstd")
+    on_page = rows.groupBy("run", F.xxhash64("key").alias("page")).agg(F.max("inside").alias("inside"))
+    runs = on_page.groupBy("run").agg(F.count("*").alias("pages"), F.count_if("inside").alias("articles")).filter("pages > 1")
     hosts = streams.select("host", "least").distinct()
     hit = rows.join(stored(runs, "html-shared"), "run").join(hosts, "host")
-    pages = streams.select("host", "key", "marked", "sizes")
-    hit = hit.join(pages.select("host", "key", "marked"), ["host", "key"])
     hit = hit.filter(~F.col("marked") | (F.col("inside") & (F.col("articles") >= F.col("least"))))
-    places = hit.groupBy("host", "key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    places = hit.groupBy("host", "key").agg(F.flatten(F.collect_set("places")).alias("places"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,26 +392,26 @@ def split_host_runs(streams: DataFrame) -> DataFrame:
     return found.mapInArrow(task, "host string, key string, kept array<boolean>").filter(~F.forall("kept", lambda k: k))
 
 
-def boilerplate(pages: DataFrame, host_tokens: int = HOST_TOKENS) -> DataFrame:
+def boilerplate(rows: DataFrame, host_tokens: int = HOST_TOKENS) -> DataFrame:
     """host, key, kept (which blocks stay) of distinct pages that lose blocks to shared runs."""
-    distinct = stored(pages.groupBy("host", "key").agg(F.min("row").alias("row")).select("row"), "html-distinct")
-    streams = pages.join(distinct, "row", "left_semi").select("host", "key", "marked", "blocks").mapInArrow(stream_rows, "host string, key string, marked boolean, tokens array<int>, sizes array<int>")
-    streams = stored(streams, "html-streams", compression="zstd")
-    hosts = streams.groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.size("tokens")).alias("n"), F.count_if("marked").alias("articles")).withColumn("open", F.col("pages") - F.col("articles"))
+    streams = rows.select("host", "key", "marked", "blocks").mapInArrow(stream_rows, "host string, key string, marked boolean, tokens array<int>, sizes array<int>")
+    length = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, i: n + F.abs(i))
+    pages = streams.groupBy("host", "key").agg(F.first("marked").alias("marked"), F.first("sizes").alias("sizes"), F.count("*").alias("rows"))
+    pages = stored(pages, "html-pages", compression="zstd")
+    hosts = pages.groupBy("host").agg(F.count("*").alias("pages"), F.sum(length("sizes") * F.col("rows")).alias("n"), F.count_if("marked").alias("articles")).withColumn("open", F.col("pages") - F.col("articles"))
     hosts = stored(hosts.filter("pages > 1"), "html-hosts")
     kept = streams.join(hosts.filter(F.col("n") <= host_tokens).select("host"), "host").groupBy("host").applyInPandas(host_runs, "host string, key string, kept array<boolean>")
     large = hosts.filter(F.col("n") > host_tokens)
     if not large.isEmpty():
         least = F.greatest(F.lit(SITE_PAGES), F.ceil(F.col("articles") * SITE_SHARE)).alias("least")
-        kept = kept.unionByName(split_host_runs(streams.join(large.select("host", "open", least), "host")))
+        kept = kept.unionByName(split_host_runs(streams.join(large.select("host", "open", least), "host"), pages))
     return stored(kept, "html-kept")
 
 
 def main_text(pages: DataFrame, host_tokens: int = HOST_TOKENS) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.md5(F.coalesce("html", F.lit(""))).alias("key"), "html")
-    rows = rows.mapInArrow(block_rows, BLOCK_ROWS).withColumn("row", F.monotonically_increasing_id())
-    rows = stored(rows, "html-blocks", compression="zstd")
+    rows = stored(rows.mapInArrow(block_rows, BLOCK_ROWS), "html-blocks", compression="zstd")
     rows = rows.join(boilerplate(rows, host_tokens), ["host", "key"], "left")
     stays = lambda b, i: (b["inside"] | ~F.col("marked")) & (F.col("kept").isNull() | F.get("kept", i))
     text = F.array_join(F.transform(F.filter("blocks", stays), lambda b: b["text"]), "\n\n")
