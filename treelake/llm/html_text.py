@@ -245,21 +245,38 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([some["page_id"], some["url"], hosts, some["key"], pa.array([p.marked for p in pages], pa.bool_()), said], ["page_id", "url", "host", "key", "marked", "blocks"])
 
 
+STREAM_ROWS = "host string, key string, marked boolean, tokens array<int>, sizes array<int>"
+
+
+class TokenDigests(dict):
+    """Digests of words, as many as MOST are remembered."""
+
+    MOST = 200_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = found = xxhash.xxh32_intdigest(word) >> 1 | 1
+        return found
+
+
 def stream_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, key, marked, blocks) to (host, key, marked, tokens, sizes): digests of words, 0 at block ends; tokens of each
     block with its end, negative outside the marked article."""
+    digests = TokenDigests()
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
-            some, tokens, sizes = batch.slice(start, 256), [], []
-            for blocks in some["blocks"].to_pylist():
-                tokens.append([])
-                sizes.append([])
-                for block in blocks:
-                    words = block["text"].split()
-                    tokens[-1] += [xxhash.xxh32_intdigest(w) >> 1 | 1 for w in words]
-                    tokens[-1].append(0)
-                    sizes[-1].append(len(words) + 1 if block["inside"] else -len(words) - 1)
-            columns = [some["host"], some["key"], some["marked"], pa.array(tokens, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))]
+            some, tokens, sizes, ends = batch.slice(start, 256), [], [], [0]
+            blocks = some["blocks"].flatten()
+            counts = np.cumsum(np.append(0, some["blocks"].value_lengths().to_numpy()))
+            for text, inside in zip(blocks.field("text").to_pylist(), blocks.field("inside").to_pylist()):
+                words = text.split()
+                tokens += [digests[w] for w in words]
+                tokens.append(0)
+                sizes.append(len(words) + 1 if inside else -len(words) - 1)
+                ends.append(len(tokens))
+            streams = pa.ListArray.from_arrays(pa.array(np.array(ends)[counts].astype("i4")), pa.array(tokens, pa.int32()))
+            columns = [some["host"], some["key"], some["marked"], streams, pa.ListArray.from_arrays(pa.array(counts.astype("i4")), pa.array(sizes, pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["host", "key", "marked", "tokens", "sizes"])
 
 
@@ -394,17 +411,21 @@ def split_host_runs(streams: DataFrame, pages: DataFrame) -> DataFrame:
 
 def boilerplate(rows: DataFrame, host_tokens: int = HOST_TOKENS) -> DataFrame:
     """host, key, kept (which blocks stay) of distinct pages that lose blocks to shared runs."""
-    streams = rows.select("host", "key", "marked", "blocks").mapInArrow(stream_rows, "host string, key string, marked boolean, tokens array<int>, sizes array<int>")
+    rows = rows.select("host", "key", "marked", "blocks")
+    streams = rows.mapInArrow(stream_rows, STREAM_ROWS)
     length = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, i: n + F.abs(i))
     pages = streams.groupBy("host", "key").agg(F.first("marked").alias("marked"), F.first("sizes").alias("sizes"), F.count("*").alias("rows"))
     pages = stored(pages, "html-pages", compression="zstd")
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages"), F.sum(length("sizes") * F.col("rows")).alias("n"), F.count_if("marked").alias("articles")).withColumn("open", F.col("pages") - F.col("articles"))
     hosts = stored(hosts.filter("pages > 1"), "html-hosts")
-    kept = streams.join(hosts.filter(F.col("n") <= host_tokens).select("host"), "host").groupBy("host").applyInPandas(host_runs, "host string, key string, kept array<boolean>")
+    some = rows.join(hosts.filter(F.col("n") <= host_tokens).select("host"), "host").select(rows.columns)
+    kept = some.mapInArrow(stream_rows, STREAM_ROWS).groupBy("host").applyInPandas(host_runs, "host string, key string, kept array<boolean>")
     large = hosts.filter(F.col("n") > host_tokens)
     if not large.isEmpty():
         least = F.greatest(F.lit(SITE_PAGES), F.ceil(F.col("articles") * SITE_SHARE)).alias("least")
-        kept = kept.unionByName(split_host_runs(streams.join(large.select("host", "open", least), "host"), pages))
+        large = large.select("host", "open", least)
+        some = rows.join(large.select("host"), "host").select(rows.columns)
+        kept = kept.unionByName(split_host_runs(some.mapInArrow(stream_rows, STREAM_ROWS).join(large, "host"), pages))
     return stored(kept, "html-kept")
 
 
