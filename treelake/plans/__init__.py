@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("entries", "relations", "changes", "states")
+MODULES: tuple[str, ...] = ("entries", "relations", "changes", "states", "publishing")
 
 
 def _gather(attribute: str) -> dict:
