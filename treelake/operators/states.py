@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 def with_sum_before(rows: DataFrame, order: str, value: str, width: int) -> DataFrame:
     """rows with before: the sum of value over all rows with a smaller order (a unique integer).
 
-    Slices of order of a fixed width are summed apart and carried by one row per slice, so no task sees all rows.
+    Slices of order of a fixed width are summed apart and carried by one row per slice, and the slices likewise by one row
+    per width slices, so no task sees all rows, nor all slices.
     """
-    rows = rows.withColumn("slice_", F.expr(f"{order} div {width}"))
-    per = rows.groupBy("slice_").agg(F.sum(value).alias("sum_"))
-    earlier = Window.orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
-    starts = per.select("slice_", F.coalesce(F.sum("sum_").over(earlier), F.lit(0)).alias("start_"))
+    rows = rows.withColumn("slice_", F.expr(f"({order} - pmod({order}, {width})) div {width}"))
+    per = rows.groupBy("slice_").agg(F.sum(value).alias("sum_")).withColumn("span_", F.expr(f"(slice_ - pmod(slice_, {width})) div {width}"))
+    spans = per.groupBy("span_").agg(F.sum("sum_").alias("all_"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("span_", F.coalesce(F.sum("all_").over(earlier(Window.orderBy("span_"))), F.lit(0)).alias("far_"))  # one row per span
+    near = F.coalesce(F.sum("sum_").over(earlier(Window.partitionBy("span_").orderBy("slice_"))), F.lit(0))
+    starts = per.withColumn("near_", near).join(spans, "span_").select("slice_", (F.col("far_") + F.col("near_")).alias("start_"))
     inside = Window.partitionBy("slice_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside_", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return rows.join(starts, "slice_").withColumn("before", F.col("start_") + F.col("inside_")).drop("slice_", "start_", "inside_")
