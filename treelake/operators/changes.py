@@ -161,11 +161,12 @@ def compared(dirents: DataFrame) -> DataFrame:
 
 
 def tree_diff(old: DataFrame, new: DataFrame, equal_parts: DataFrame | None = None) -> DataFrame:
-    """path, change (A, R, M), mask of added, removed and modified paths. equal_parts (path) are nested trees with equal digests: skipped before the join."""
-    a, b = compared(old), compared(new)
+    """path, change (A, R, M), mask of added, removed and modified paths. equal_parts (path) are partitions with equal digests, those nested
+    in them included, as equal digests imply: their entries are skipped before the join, by the partition that they are in."""
     if equal_parts is not None:
-        inside = lambda d: d.withColumn("path_", F.explode(ancestors(F.col("path")))).join(equal_parts.select(F.col("path").alias("path_")), "path_", "left_semi").select("path")
-        a, b = a.join(inside(a), "path", "left_anti"), b.join(inside(b), "path", "left_anti")
+        skipped = equal_parts.select(F.col("path").alias("catalog"))
+        old, new = old.join(skipped, "catalog", "left_anti"), new.join(skipped, "catalog", "left_anti")
+    a, b = compared(old), compared(new)
     renamed = b.select("path", *[F.col(c).alias(f"new_{c}") for c in b.columns if c != "path"], F.lit(True).alias("in_new"))
     both = a.withColumn("in_old", F.lit(True)).join(renamed, "path", "full_outer")
     mask = F.lit(0)

@@ -70,9 +70,12 @@ def prune_branches(branches: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def overlapping_text(leases: DataFrame, asked: DataFrame) -> DataFrame:
-    """Leases of a repository whose path text is a prefix of the asked one or the other way round."""
-    both = leases.join(asked.select("repository", F.col("path").alias("asked")), "repository")
-    return both.filter(F.startswith("asked", "path") | F.startswith("path", "asked"))
+    """Leases of a repository whose path text is a prefix of the asked one or the other way round: equi-joins on prefixes."""
+    prefixes = lambda c: F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n))
+    a = asked.select("repository", F.col("path").alias("asked"))
+    above = leases.join(a.withColumn("path", F.explode(prefixes("asked"))), ["repository", "path"])
+    down = leases.withColumn("asked", F.explode(prefixes("path"))).filter("asked <> path")
+    return above.unionByName(down.join(a, ["repository", "asked"]))
 
 
 def overlapping_paths(leases: DataFrame, asked: DataFrame) -> DataFrame:

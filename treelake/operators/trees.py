@@ -41,9 +41,14 @@ def history(heads: DataFrame, revisions: DataFrame, most: int, oldest: int) -> D
     return seen
 
 
-def swept(condemned: DataFrame, preserved: DataFrame) -> DataFrame:
-    """hash, requests: objects that only condemned partitions refer to, and how often they were asked to go."""
-    return condemned.join(preserved.select("hash"), "hash", "left_anti").groupBy("hash").agg(F.count("*").alias("requests"))
+def swept(referenced: DataFrame, preserved: DataFrame) -> DataFrame:
+    """hash, requests: objects that only condemned partitions refer to, and how often they were asked to go.
+
+    referenced has part, hash, preserved has the parts to keep; references are read and shuffled by hash once.
+    """
+    rows = referenced.join(preserved.select("part", F.lit(True).alias("kept")).distinct(), "part", "left")
+    sums = rows.groupBy("hash").agg(F.count_if(F.col("kept").isNull()).alias("requests"), F.bool_or("kept").alias("kept"))
+    return sums.filter("kept is null").select("hash", "requests")
 
 
 def entry_violations(dirents: DataFrame) -> DataFrame:
@@ -151,7 +156,8 @@ def content_chunks(files: DataFrame, least: int, average: int, most: int) -> Dat
 
 
 def static_chunks(files: DataFrame, size: int) -> DataFrame:
-    """path, off, size, hash of chunks of a fixed size."""
-    starts = files.withColumn("off", F.explode(F.sequence(F.lit(0), F.greatest(F.length("content") - 1, F.lit(0)), F.lit(size))))
-    piece = F.substring(F.col("content"), F.col("off") + 1, F.lit(size))
-    return starts.select("path", F.col("off").cast("long").alias("off"), F.length(piece).cast("long").alias("size"), F.sha1(piece).alias("hash"))
+    """path, off, size, hash of chunks of a fixed size; a file's content is in no row but its own."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("content") - 1, F.lit(0)), F.lit(size))
+    piece = lambda off: F.substring(F.col("content"), off + 1, F.lit(size))
+    cut = F.transform(starts, lambda off: F.struct(off.cast("long").alias("off"), F.length(piece(off)).cast("long").alias("size"), F.sha1(piece(off)).alias("hash")))
+    return files.select("path", cut.alias("cut")).select("path", F.inline("cut"))

@@ -190,7 +190,7 @@ SWEPT = f"SELECT hash, count(*) AS requests FROM ({REFD}) WHERE part IN (SELECT
 
 
 def sweep(t):
-    return trees.swept(referenced(t).join(preserved(t), "part", "left_anti"), referenced(t).join(preserved(t), "part", "left_semi"))
+    return trees.swept(referenced(t), preserved(t))
 
 
 add("gc_sweep", sweep, SWEPT)
