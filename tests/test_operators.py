@@ -40,6 +40,54 @@ def test_balanced_takes_the_heaviest_until_light(spark):
     assert sorted(map(tuple, found.collect())) == [("g", "a", 50)]
 
 
+def slow_balance(dirs, limit, least):
+    """The plain version: post-order, the heaviest child first while the directory is too heavy."""
+    entries = {p: (1 if mount else n) for p, _, n, mount in dirs}
+    mounts = {p for p, _, _, mount in dirs if mount}
+    chosen, kids = {}, {p: [c for c, parent, _, _ in dirs if parent == p] for p in entries}
+
+    def weight(path):
+        left = {c: weight(c) for c in kids[path]}
+        total = entries[path] + sum(left.values())
+        for c in sorted((c for c in left if c not in mounts), key=lambda c: (-left[c], c)):
+            if total <= limit or left[c] < least:
+                break
+            chosen[c], total = left[c], total - left[c] + 1
+        return total
+
+    if dirs:
+        weight("")
+    return chosen
+
+
+def test_balanced_tree_equals_post_order(spark):
+    rng = random.Random(5)
+    schema = "path string, parent string, entries long, mount boolean"
+    for limit, least in ((30, 5), (60, 20)):
+        dirs = [("", None, 3, False)]
+        for i in range(60):
+            above = rng.choice([d for d in dirs if not d[3]])[0]
+            dirs.append((f"{above}/d{i}", above, rng.randint(1, 25), rng.random() < 0.1))
+        found = trees.balanced_tree(spark.createDataFrame(dirs, schema), limit, least).collect()
+        assert {r["path"]: r["weight"] for r in found} == slow_balance(dirs, limit, least) != {}
+    assert trees.balanced_tree(spark.createDataFrame([], schema), 30, 5).isEmpty()
+
+
+def test_content_chunk_query_equals_a_plain_version(spark, sf_dir):
+    import hashlib
+
+    from treelake import plans
+
+    found = sorted(map(tuple, plans.queries()["st_chunk_cdc"](spark, sf_dir).select("path", "off", "size", "hash").collect()))
+    wanted = []
+    for doc_id, content in spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("cast(doc_id as string)", "cast(text as binary)").collect():
+        start = 0
+        for end in slow_cuts(bytes(content), 256, 1024, 4096):
+            wanted.append((doc_id, start, end - start, hashlib.sha1(content[start:end]).hexdigest()))
+            start = end
+    assert found == sorted(wanted) and found
+
+
 def test_links_are_expanded(spark):
     rows = [("plain",), ("$(A)",), ("x$(B:-d)y",), ("$(open",), ("",)]
     df = spark.createDataFrame(rows, "l string").selectExpr("l", "map('A', 'v') AS m")

@@ -16,4 +16,4 @@ def test_query_equals_its_sql(name, compared):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(name, spark, sf_dir):
-    assert QUERIES[name](spark, sf_dir).columns
+    assert QUERIES[name](spark, sf_dir).count() > 0

@@ -110,13 +110,43 @@ def balanced(children: DataFrame, limit: int, least: int) -> DataFrame:
     children are (group, name, weight); a nested child weighs one in its parent. A running sum over the children in
     descending order gives the weight that is left before each choice.
     """
+    return balanced_from(children.withColumn("total", F.sum("weight").over(Window.partitionBy("group")) + 1), limit, least)
+
+
+def balanced_from(children: DataFrame, limit: int, least: int) -> DataFrame:
+    """The same for children with the group's weight as total."""
     order = Window.partitionBy("group").orderBy(F.desc("weight"), "name")
-    rows = children.withColumn("total", F.sum("weight").over(Window.partitionBy("group")) + 1)
     before = F.coalesce(F.sum(F.col("weight") - 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("left", F.col("total") - before)
+    rows = children.withColumn("left", F.col("total") - before)
     return rows.filter((F.col("left") > limit) & (F.col("weight") >= least)).select("group", "name", "weight")
 
 
+def balanced_tree(dirs: DataFrame, limit: int, least: int) -> DataFrame:
+    """path, weight of the directories to nest, from the deepest level up.
+
+    dirs are the directories of one partition (path, parent, entries: one and the children that are no directories; mount:
+    a mount point, which weighs one and is never chosen). A directory weighs its entries and its children's weights, each
+    nested child one, so a level is chosen with the weights that the level below left. One round a level of depth.
+    """
+    rows = dirs.select("path", "parent", F.when(F.col("mount"), F.lit(1)).otherwise(F.col("entries")).cast("long").alias("entries"), "mount", (F.size(F.split("path", "/")) - 1).alias("depth"))
+    deepest = rows.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return rows.select("path", F.col("entries").alias("weight"))
+    chosen, below_ = None, None
+    for depth in range(deepest, -1, -1):
+        level = rows.filter(F.col("depth") == depth)
+        level = level.withColumn("weight", F.col("entries")) if below_ is None else level.join(below_, "path", "left").withColumn("weight", F.col("entries") + F.coalesce("kids", F.lit(0)))
+        siblings = level.filter("not mount").select(F.col("parent").alias("group"), F.col("path").alias("name"), "weight")
+        level = level.select("path", "parent", "mount", "weight").checkpoint()
+        groups = level.groupBy(F.col("parent").alias("group")).agg(F.sum("weight").alias("kids_"))
+        rest = groups.join(rows.select(F.col("path").alias("group"), "entries"), "group").select("group", (F.col("kids_") + F.col("entries")).alias("total"))
+        picked = balanced_from(siblings.join(rest, "group"), limit, least).select("name", "weight").checkpoint()
+        chosen = picked if chosen is None else chosen.union(picked)
+        left = level.join(picked.select(F.col("name").alias("path"), F.lit(True).alias("nested")), "path", "left")
+        below_ = left.groupBy(F.col("parent").alias("path")).agg(F.sum(F.when(F.col("nested"), 1).otherwise(F.col("weight"))).cast("long").alias("kids"))
+    return chosen.select(F.col("name").alias("path"), "weight")
+
+
 def cut_points(data: bytes, least: int, average: int, most: int) -> list[int]:
     """Ends of content-defined chunks: a rolling 32-bit exclusive or, tested from the least size on, in wrapping arithmetic.
 

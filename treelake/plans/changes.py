@@ -234,11 +234,21 @@ add("ck_cachefsck", lambda t: t.objects.withColumn("size", F.when(F.col("source"
 add("ck_manifest", lambda t: t.tags.agg(F.max("revision").alias("revision"), F.max_by("hash", "revision").alias("root"), (F.count_if(F.col("branch") != "") > 0).alias("has_branches")), "SELECT max(revision) AS revision, arg_max(hash, revision) AS root, count(*) FILTER (branch <> '') > 0 AS has_branches FROM {tags}")
 
 # balancing
-add("bl_balance", lambda t: trees.balanced(subtree_weights(t.dirents).filter("path rlike '/c[0-9]+$'").select(F.regexp_replace("path", "/[^/]*$", "").alias("group"), F.col("path").alias("name"), "weight"), 300, 10), """
+add("bl_balance", lambda t: trees.balanced(subtree_weights(t.dirents).filter("path rlike '/c[0-9]+$'").select(F.regexp_replace("path", "/[^/]*$", "").alias("group"), F.col("path").alias("name"), "weight"), 30, 10), """
     WITH c AS (SELECT parent AS "group", d.path AS name, 1 + (SELECT count(*) FROM {dirents} k WHERE k.parent = d.path AND k.catalog = d.catalog) AS weight FROM {dirents} d WHERE regexp_matches(path, '/c[0-9]+$')),
     w AS (SELECT *, 1 + sum(weight) OVER (PARTITION BY "group") - coalesce(sum(weight - 1) OVER (PARTITION BY "group" ORDER BY weight DESC, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM c)
-    SELECT "group", name, weight FROM w WHERE l > 300 AND weight >= 10""")
-add("bl_limit", lambda t: t.dirents.groupBy("catalog").count().filter(F.col("count") > 600).select("catalog", F.col("count").alias("entries")), "SELECT catalog, count(*) AS entries FROM {dirents} GROUP BY catalog HAVING count(*) > 600")
+    SELECT "group", name, weight FROM w WHERE l > 30 AND weight >= 10""")
+
+
+def directories(t):
+    """Directories of the partitions as one tree: a partition's root stands for its mount point."""
+    d = t.dirents.filter(~has(2))
+    files = d.filter(~has(1)).groupBy(F.col("parent").alias("path")).count()
+    return d.filter(has(1)).select("path", "parent").join(files, "path", "left").select("path", "parent", (F.coalesce("count", F.lit(0)) + 1).alias("entries"), F.lit(False).alias("mount"))
+
+
+add("bl_cascade", lambda t: trees.balanced_tree(directories(t), 300, 10))
+add("bl_limit", lambda t: t.dirents.groupBy("catalog").count().filter(F.col("count") > 60).select("catalog", F.col("count").alias("entries")), "SELECT catalog, count(*) AS entries FROM {dirents} GROUP BY catalog HAVING count(*) > 60")
 add("bl_dirty", lambda t: trees.dirty_partitions(t.nested.filter("size < 1003").select(F.col("path").alias("catalog"))), "SELECT path AS catalog FROM {nested} WHERE size < 1003 UNION SELECT regexp_replace(path, '/[^/]*$', '') FROM {nested} WHERE size < 1003 UNION SELECT ''")
 add("lm_size", lambda t: t.dirents.filter(F.col("size") > 200).filter(has(4)).select("path", "size"), "SELECT path, size FROM {dirents} WHERE size > 200 AND (flags & 4) <> 0")
 QUERIES, SQL = R.queries, R.sql
