@@ -79,3 +79,20 @@ def test_precision_and_recall_of_added_spans(spark):
     secrets = sum(bool(added[i]) for i in range(300)) + sum(bool(added[1000 + i]) for i in range(200))
     print(f"added kinds: recall {caught}/{len(more)} and {secrets}/500, {wrong} wrong")
     assert caught == len(more) and secrets >= 490 and wrong == 0
+
+
+def test_fit_counts_every_candidate(spark):
+    """Six short numbers and two cards of wrong length a text, and a card; each with and without the text before it."""
+    rows = [(i, f"card 4111 1111 1111 1111 then {i} and {i + 1}", "en", "a") for i in range(6000)]
+    counts = pii.counted(documents(spark, rows)).groupBy("label").agg({"n": "sum"}).collect()
+    assert {r[0]: r[1] for r in counts} == {1.0: 2 * 6000, 0.0: 2 * 8 * 6000}
+
+
+def test_rounded_features_decide_as_the_features(spark):
+    rows, _ = planted()
+    trees, threshold = pii.fit(documents(spark, rows))
+    seen = spark.createDataFrame([(t,) for _, t, *_ in rows], "text string").select(pii.F.explode(pii.extra_candidates(pii.F.col("text"))).alias("c"))
+    f = pii.features(pii.F.col("c"))
+    near = pii.F.array(*[pii.F.least(pii.F.ceil(f[i] / step), pii.F.lit(top)) * pii.F.lit(step) for i, (step, top) in enumerate(pii.STEPS)])
+    found = seen.select(pii.probability(trees, f).alias("p"), pii.probability(trees, near).alias("q")).collect()
+    assert found and all(r["p"] == r["q"] for r in found) and 0.5 <= threshold < 1

@@ -8,7 +8,9 @@ formats are personal; numbers that fail the checks or are short, dates and long
 and without the text before it. Part of the sample is set aside to calibrate the threshold. Of candidates above it those
 that overlap a base span go, and of those that chain by overlaps the best stays.
 
-The fit sees a bounded sample: the SAMPLE candidates of each class with the smallest hash. Selection reads every text.
+The fit sees every candidate of every text: features are rounded up to fixed steps (STEPS), equal rounded candidates are
+counted, and the trees learn from these counts as weights, both classes with the same total. The features are told to
+the trees as marks of passed steps, so that no split is taken from a sample of values. Selection reads every text.
 
 Defined results: a null text counts as empty and has no spans; positions are code points, the end is exclusive; without
 candidates of both classes nothing is added to the base spans; of candidates with one probability the first stays, then
@@ -26,10 +28,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treelake.llm.common import stored, table
+from treelake.llm.common import rows_about, stored, table
 
-#: Most candidates of each class in the fitting sample.
-SAMPLE = 4000
+#: Step and number of steps of each feature, as the fit sees it; quotients by a step are exact in double precision.
+SHARE, MARK = (0.125, 8), (1.0, 1)
+STEPS = ((4.0, 16), (1.0, 20), SHARE, SHARE, (1.0, 8), (4.0, 10), (2.0, 10), *[MARK] * 6, SHARE, *[MARK] * 6)
+#: Distinct rounded candidates of one task of the fit.
+FIT_ROWS = 100_000
 #: Share of the calibration negatives that may pass the threshold.
 FALSE_RATE = 0.001
 BASE = ("email", "ip", "card", "phone")
@@ -210,41 +215,53 @@ def weak_labels(text: Column) -> tuple[Column, Column]:
     return good, F.concat(found(text, "ip", invalid("ip")), found(text, "card", invalid("card")), small, plain)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[tuple[float, dict | float]], float] | None:
-    """Boosted trees (weight, tree) and the calibrated threshold, from a bounded sample of weakly labelled candidates."""
+def counted(docs: DataFrame) -> DataFrame:
+    """label, held (set aside for calibration), levels (steps that each feature passes), n of the weakly labelled candidates of all texts."""
     text = F.coalesce("text", F.lit(""))
     good, bad = weak_labels(F.col("text"))
     label = lambda spans, y: F.transform(spans, lambda c: F.struct(F.lit(y).alias("label"), c.alias("c")))
     rows = docs.select(text.alias("text")).select(F.explode(F.concat(label(good, 1.0), label(bad, 0.0))).alias("x")).select("x.label", "x.c")
-    rows = rows.withColumn("h", F.xxhash64("c.kind", "c.text", "c.before"))
+    rows = rows.withColumn("held", F.pmod(F.xxhash64(F.xxhash64("c.kind", "c.text", "c.before")), F.lit(4)) == 0)
     blind = F.col("c").withField("before", F.lit(""))
-    rows = rows.select("label", "h", F.explode(F.array(F.col("c"), blind)).alias("c"))
-    rows = stored(rows.select("label", "h", features(F.col("c")).alias("f")), "pii-candidates")
-    picked = [rows.filter(F.col("label") == y).orderBy("h", "f").limit(sample) for y in (1.0, 0.0)]
-    picked = stored(picked[0].union(picked[1]).coalesce(1), "pii-sample")
-    held = F.pmod(F.xxhash64("h"), F.lit(4)) == 0
-    counts = {r["label"]: r["count"] for r in picked.filter(~held).groupBy("label").count().collect()}
-    if len(counts) < 2:
+    rows = rows.select("label", "held", F.explode(F.array(F.col("c"), blind)).alias("c")).select("label", "held", features(F.col("c")).alias("f"))
+    levels = F.array(*[F.least(F.ceil(F.col("f")[i] / step), F.lit(top)).cast("int") for i, (step, top) in enumerate(STEPS)])
+    return rows.select("label", "held", levels.alias("levels")).groupBy("label", "held", "levels").agg(F.count("*").alias("n"))
+
+
+def fit(docs: DataFrame) -> tuple[list[tuple[float, dict | float]], float] | None:
+    """Boosted trees (weight, tree) and the calibrated threshold, from all weakly labelled candidates."""
+    counts = stored(counted(docs), "pii-counts")
+    learned = counts.filter("not held")
+    totals = {r["label"]: r["n"] for r in learned.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    if len(totals) < 2:
         return None
-    train = picked.filter(~held).select("label", array_to_vector("f").alias("features"))
-    model = GBTClassifier(maxIter=12, maxDepth=4, seed=1, stepSize=0.3, maxBins=16).fit(train)
-    trees = [(w, parse_tree(t.toDebugString)) for w, t in zip(model.treeWeights, model.trees)]
-    scores = picked.filter(held & (F.col("label") == 0)).select(probability(trees, F.col("f")).alias("p"))
-    limit = scores.agg(F.percentile("p", 1 - FALSE_RATE)).first()[0]
+    weight = F.col("n") * F.when(F.col("label") == 1, sum(totals.values()) / 2 / totals[1.0]).otherwise(sum(totals.values()) / 2 / totals[0.0])
+    marks = [(i, k) for i, (_, top) in enumerate(STEPS) for k in range(top)]
+    passed = array_to_vector(F.array(*[(F.col("levels")[i] > k).cast("double") for i, k in marks]))
+    nominal = [{"idx": at, "name": f"f{i}_{k}", "vals": ["0", "1"]} for at, (i, k) in enumerate(marks)]
+    train = learned.select("label", weight.alias("weight"), passed.alias("features", metadata={"ml_attr": {"attrs": {"nominal": nominal}, "num_attrs": len(marks)}}))
+    train = train.coalesce(rows_about(learned, FIT_ROWS))
+    model = GBTClassifier(maxIter=12, maxDepth=4, seed=1, stepSize=0.3, maxBins=16, weightCol="weight").fit(train)
+    trees = [(w, parse_tree(t.toDebugString, marks)) for w, t in zip(model.treeWeights, model.trees)]
+    rounded = F.array(*[F.col("levels")[i] * F.lit(step) for i, (step, _) in enumerate(STEPS)])
+    scores = counts.filter("held and label = 0").select(probability(trees, rounded).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
+    limit = scores.agg(F.percentile("p", 1 - FALSE_RATE, F.col("n"))).first()[0]
     return trees, max(0.5, limit or 0.0)
 
 
-def parse_tree(said: str) -> dict | float:
-    """A fitted tree from its description: a number, or a feature, a threshold and two trees."""
+def parse_tree(said: str, marks: list[tuple[int, int]]) -> dict | float:
+    """A fitted tree over marks (feature, step) from its description: a number, or a feature, a threshold and two trees."""
     lines = [x.strip() for x in said.splitlines()[1:] if x.strip()]
 
     def node(at: int) -> tuple[dict | float, int]:
         if m := re.match(r"Predict: (\S+)", lines[at]):
             return float(m[1]), at + 1
-        m = re.match(r"If \(feature (\d+) <= (\S+)\)", lines[at])
-        low, at = node(at + 1)
-        high, at = node(at + 1)
-        return {"feature": int(m[1]), "threshold": float(m[2]), "low": low, "high": high}, at
+        m = re.match(r"If \(feature (\d+) in \{([01])\.0\}\)", lines[at])
+        first, at = node(at + 1)
+        second, at = node(at + 1)
+        feature, step = marks[int(m[1])]
+        low, high = (first, second) if m[2] == "0" else (second, first)
+        return {"feature": feature, "threshold": step * STEPS[feature][0], "low": low, "high": high}, at
 
     return node(0)[0]
 
@@ -263,9 +280,9 @@ def probability(trees: list[tuple[float, dict | float]], f: Column) -> Column:
     return 1 / (1 + F.exp(-2 * total))
 
 
-def find(docs: DataFrame, sample: int = SAMPLE, *columns: str) -> DataFrame:
+def find(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id, columns, base (array of base spans by kind, then start), added (array of added spans, by start) of every row."""
-    fitted = fit(docs, sample)
+    fitted = fit(docs)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("base", F.concat(*base_spans(F.col("text"))))
     if fitted is None:
@@ -297,12 +314,12 @@ def chosen(rows: DataFrame) -> DataFrame:
     return best.select("row", F.transform("found", lambda x: x["c"]).alias("added"))
 
 
-def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def redact(docs: DataFrame) -> DataFrame:
     """doc_id and text with every base and added span replaced by its kind in brackets."""
-    rows = find(docs, sample, "text").withColumn("all", F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"], s["end"], s["kind"]))))
+    rows = find(docs, "text").withColumn("all", F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"], s["end"], s["kind"]))))
 
     spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    rows = find(docs, sample, "text").withColumn("spans", spans)
+    rows = find(docs, "text").withColumn("spans", spans)
     reached = F.concat(F.array(F.lit(0)), running(F.transform("spans", lambda s: s["end"]), F.greatest))
 
     def said(x: Column) -> Column:
