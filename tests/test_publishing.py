@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import random
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +102,19 @@ def test_archive_removals(spark):
     removed = spark.createDataFrame([("/y",), ("/z",)], "path string")
     found = archives.tar_changes(entries, removed).select(F.concat_ws(" ", "path", "action")).collect()
     assert sorted(r[0] for r in found) == ["/x add", "/y add", "/z remove"]
+
+
+def test_archives_go_to_python_in_small_parts(spark):
+    """Not by thousands in one Arrow batch, and each archive is read once."""
+    buffer = io.BytesIO()
+    with tarfile.open(fileobj=buffer, mode="w") as tar:
+        for name in ("./a/", "./", "b"):
+            head = tarfile.TarInfo(name)
+            head.type = tarfile.DIRTYPE if name.endswith("/") else tarfile.REGTYPE
+            tar.addfile(head)
+    found = archives.tar_entries(spark.createDataFrame([("x", buffer.getvalue())], "archive string, content binary"), "/r")
+    assert sorted(map(tuple, found.select("place", "path", "kind", "target").collect())) == [(0, "/r/a", "directory", ""), (2, "/r/b", "file", "")]
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        found.explain()
+    assert "InPandas" not in plan.getvalue() and plan.getvalue().count("BatchEvalPython") == 1

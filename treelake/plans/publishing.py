@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from treelake.operators import publishing as op
@@ -69,22 +67,18 @@ def lease_requests(t):
 add("st_lease", lambda t: op.replayed_leases(lease_requests(t), 3_600_000))
 
 
-def one_archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A tar archive of each row (archive, text): a directory, the text and a link to it."""
-    for rows in batches:
-        out = []
-        for archive, text in zip(rows["archive"], rows["text"]):
-            data, buffer = (text or "").encode(), io.BytesIO()
-            with tarfile.open(fileobj=buffer, mode="w") as tar:
-                for name, kind, size, link in (("./d/", tarfile.DIRTYPE, 0, ""), ("./d/text", tarfile.REGTYPE, len(data), ""), ("d/again", tarfile.LNKTYPE, 0, "./d/text")):
-                    head = tarfile.TarInfo(name)
-                    head.type, head.size, head.linkname = kind, size, link
-                    tar.addfile(head, io.BytesIO(data))
-            out.append((archive, buffer.getvalue()))
-        yield pd.DataFrame(out, columns=["archive", "content"])
+def one_archive(text: str | None) -> bytes:
+    """A tar archive of a text: a directory, the text and a link to it."""
+    data, buffer = (text or "").encode(), io.BytesIO()
+    with tarfile.open(fileobj=buffer, mode="w") as tar:
+        for name, kind, size, link in (("./d/", tarfile.DIRTYPE, 0, ""), ("./d/text", tarfile.REGTYPE, len(data), ""), ("d/again", tarfile.LNKTYPE, 0, "./d/text")):
+            head = tarfile.TarInfo(name)
+            head.type, head.size, head.linkname = kind, size, link
+            tar.addfile(head, io.BytesIO(data))
+    return buffer.getvalue()
 
 
-add("src_tar", lambda t: archives.tar_entries(t.documents.select(F.col("doc_id").cast("string").alias("archive"), "text").mapInPandas(one_archive, "archive string, content binary"), "/base").select("archive", "path", "kind", "size", "target"), """
+add("src_tar", lambda t: archives.tar_entries(t.documents.select(F.col("doc_id").cast("string").alias("archive"), F.udf(one_archive, "binary", useArrow=False)("text").alias("content")), "/base").select("archive", "path", "kind", "size", "target"), """
     SELECT doc_id::varchar AS archive, '/base/' || m.path AS path, m.kind AS kind, CASE WHEN m.kind = 'file' THEN coalesce(strlen(text), 0) ELSE 0 END AS size, CASE WHEN m.kind = 'hardlink' THEN '/base/d/text' ELSE '' END AS target
     FROM {documents}, (VALUES ('d', 'directory'), ('d/text', 'file'), ('d/again', 'hardlink')) m(path, kind)""")
 
