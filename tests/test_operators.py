@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import random
+import tracemalloc
 
 import pytest
 
@@ -34,6 +37,29 @@ def test_cut_points(sizes):
             assert trees.cut_points(data, *sizes) == slow_cuts(data, *sizes)
 
 
+def test_cut_points_of_slices(monkeypatch):
+    """A large file is looked through slice by slice, with the same cuts."""
+    data = random.Random(2).randbytes(9_000_000)
+    tracemalloc.start()
+    found = trees.cut_points(data, 256, 1024, 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
+    monkeypatch.setattr(trees, "SLICE", len(data))
+    assert trees.cut_points(data, 256, 1024, 4096) == found
+    monkeypatch.setattr(trees, "SLICE", 7)
+    assert trees.cut_points(data[:3000], 64, 100, 1000) == slow_cuts(data[:3000], 64, 100, 1000)
+
+
+def test_files_go_to_python_in_small_parts(spark):
+    found = trees.content_chunks(spark.createDataFrame([("x", bytearray(b"abc")), ("y", None)], "path string, content binary"), 256, 1024, 4096)
+    assert [r["path"] for r in found.collect()] == ["x"]
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        found.explain()
+    assert "InPandas" not in plan.getvalue() and plan.getvalue().count("BatchEvalPython") == 1
+
+
 def test_balanced_takes_the_heaviest_until_light(spark):
     rows = [("g", "a", 50), ("g", "b", 30), ("g", "c", 5), ("h", "x", 10)]
     found = trees.balanced(spark.createDataFrame(rows, "group string, name string, weight long"), 40, 10)
