@@ -119,3 +119,54 @@ def test_links_are_expanded(spark):
     df = spark.createDataFrame(rows, "l string").selectExpr("l", "map('A', 'v') AS m")
     found = [r[0] for r in df.select(text.expanded(df["l"], df["m"])).collect()]
     assert found == ["plain", "v", "xdy", "$(open", ""]
+
+
+def counting(spark, rows, schema):
+    """Rows whose derivation is counted, and the counter."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(value):
+        seen.add(1)
+        return value
+
+    name = schema.split()[0]
+    return spark.createDataFrame(rows, schema).withColumn(name, F.udf(count, "string", useArrow=False).asNondeterministic()(name)), seen
+
+
+def test_history_derives_the_revisions_once(spark):
+    rows = [(f"h{i}", f"h{i - 1}" if i else None, i) for i in range(12)]
+    revisions, seen = counting(spark, rows, "hash string, previous string, mtime long")
+    found = trees.history(spark.createDataFrame([("h11",), ("h8",)], "hash string"), revisions, 6, 3)
+    # h8 is a head, so it is reached at age 0; the first below the time limit is itself visited
+    wanted = {"h11": 0, "h8": 0, "h10": 1, "h7": 1, "h9": 2, "h6": 2, "h5": 3, "h4": 4, "h3": 5, "h2": 6}
+    assert {r["hash"]: r["age"] for r in found.collect()} == wanted
+    assert seen.value == len(rows)
+
+
+def test_balancing_derives_the_directories_once(spark):
+    rows = [("", None, 1, False)] + [(f"/a{i}", "", 5, False) for i in range(4)] + [(f"/a{i}/b{k}", f"/a{i}", 10 + k, False) for i in range(4) for k in range(3)]
+    dirs, seen = counting(spark, rows, "path string, parent string, entries long, mount boolean")
+    assert sorted(map(tuple, trees.balanced_tree(dirs, 30, 5).collect())) == sorted(slow_balance(rows, 30, 5).items())
+    assert seen.value == len(rows)
+
+
+def test_recorders_over_slices_of_a_user(spark):
+    """The newest bin so far goes from slice to slice: one user, late ticks, users of null."""
+    from treelake.operators import states
+
+    rng = random.Random(3)
+    rows = [(e, e // 3 + rng.choice([0, 0, 40, -25]), rng.choice([1, 1, 1, 2, None])) for e in rng.sample(range(-50, 900), 600)]
+    newest, wanted = {}, {}
+    for _, t, user in sorted(rows):
+        newest[user] = max(newest.get(user, t // 5), t // 5)
+        if newest[user] - t // 5 < 4:
+            wanted[user, t // 5] = wanted.get((user, t // 5), 0) + 1
+    rows = [(e, t + 1000, user) for e, t, user in rows]
+    ticks = spark.createDataFrame(rows, "event_id long, t long, user_id long")
+    for width in (7, 100_000):
+        found = states.recorded(ticks, 5, 20, width)
+        assert {(r["user_id"], r["bin"] - 200): r["n"] for r in found.collect()} == wanted
+        last = {u: sum(n for (v, b), n in wanted.items() if v == u and newest[u] - b < 2) for u in (1, 2)}
+        assert {r["user_id"]: r["n"] for r in states.looked_back(ticks, [(5, 20)], 10, width).collect()} == last
