@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from treelake.llm import html_text
 from treelake.llm.queries import QUERIES
@@ -116,3 +117,14 @@ def test_odd_rows(spark):
     assert len(found) == len(rows) and by[1] == by[2] == "" and by[3] == "x" and by[None] == "plain text" and by[6] == "unclosed"
     assert by[4].count("\n\n") == 19_999
     assert html_text.main_text(pages(spark, [])).count() == 0
+
+
+def test_sizes_of_blocks_come_with_the_blocks():
+    """Pages are counted without their words being cut into tokens; the tokens have these sizes."""
+    pages = ["<article><p>one  two<p>a&nbsp;b\tc</article><p>out side", "", None, "<p>x"]
+    given = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["http://h/a"] * 4), pa.array(list("abcd")), pa.array(pages)], ["page_id", "url", "key", "html"])
+    (blocks,) = html_text.block_rows(iter([given]))
+    assert blocks["sizes"].to_pylist() == [[3, 4, -3], [], [], [-2]]
+    (streams,) = html_text.stream_rows(iter([blocks.select(["host", "key", "marked", "sizes", "blocks"])]))
+    assert [[i for i, t in enumerate(x) if t == 0] for x in streams["tokens"].to_pylist()] == [[2, 6, 9], [], [], [1]]
+    assert streams["sizes"].to_pylist() == blocks["sizes"].to_pylist()

@@ -230,11 +230,12 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-BLOCK_ROWS = "page_id long, url string, host string, key string, marked boolean, blocks array<struct<text:string,inside:boolean>>"
+BLOCK_ROWS = "page_id long, url string, host string, key string, marked boolean, sizes array<int>, blocks array<struct<text:string,inside:boolean>>"
 
 
 def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, key, html) to the page's host and blocks, some pages at a time."""
+    """(page_id, url, key, html) to the page's host and blocks, some pages at a time; sizes are tokens of each block with its
+    end, negative outside the marked article."""
     blocks = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_())]))
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -242,7 +243,8 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pages = [read_page(h or "") for h in some["html"].to_pylist()]
             hosts = pa.array([host_of(u) for u in some["url"].to_pylist()], pa.string())
             said = pa.array([[{"text": t, "inside": i} for t, i in p.blocks] for p in pages], blocks)
-            yield pa.RecordBatch.from_arrays([some["page_id"], some["url"], hosts, some["key"], pa.array([p.marked for p in pages], pa.bool_()), said], ["page_id", "url", "host", "key", "marked", "blocks"])
+            sizes = pa.array([[t.count(" ") + 2 if i else -t.count(" ") - 2 for t, i in p.blocks] for p in pages], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([some["page_id"], some["url"], hosts, some["key"], pa.array([p.marked for p in pages], pa.bool_()), sizes, said], ["page_id", "url", "host", "key", "marked", "sizes", "blocks"])
 
 
 STREAM_ROWS = "host string, key string, marked boolean, tokens array<int>, sizes array<int>"
@@ -261,22 +263,18 @@ class TokenDigests(dict):
 
 
 def stream_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, key, marked, blocks) to (host, key, marked, tokens, sizes): digests of words, 0 at block ends; tokens of each
-    block with its end, negative outside the marked article."""
+    """(host, key, marked, sizes, blocks) to (host, key, marked, tokens, sizes): digests of words, 0 at block ends."""
     digests = TokenDigests()
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
-            some, tokens, sizes, ends = batch.slice(start, 256), [], [], [0]
-            blocks = some["blocks"].flatten()
+            some, tokens, ends = batch.slice(start, 256), [], [0]
             counts = np.cumsum(np.append(0, some["blocks"].value_lengths().to_numpy()))
-            for text, inside in zip(blocks.field("text").to_pylist(), blocks.field("inside").to_pylist()):
-                words = text.split()
-                tokens += [digests[w] for w in words]
+            for text in some["blocks"].flatten().field("text").to_pylist():
+                tokens += map(digests.__getitem__, text.split(" "))
                 tokens.append(0)
-                sizes.append(len(words) + 1 if inside else -len(words) - 1)
                 ends.append(len(tokens))
-            streams = pa.ListArray.from_arrays(pa.array(np.array(ends)[counts].astype("i4")), pa.array(tokens, pa.int32()))
-            columns = [some["host"], some["key"], some["marked"], streams, pa.ListArray.from_arrays(pa.array(counts.astype("i4")), pa.array(sizes, pa.int32()))]
+            streams = pa.ListArray.from_arrays(pa.array(np.array(ends)[counts].astype("i4")), pa.array(np.array(tokens, "i4")))
+            columns = [some["host"], some["key"], some["marked"], streams, some["sizes"]]
             yield pa.RecordBatch.from_arrays(columns, ["host", "key", "marked", "tokens", "sizes"])
 
 
@@ -356,19 +354,21 @@ def run_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, key, marked, tokens, sizes, frequent) to (host, key, marked, run, inside, places) for each run of a page: a
     digest within the host, whether it is an article's, and where. For hosts without open pages only runs of frequent tokens count."""
     for batch in batches:
-        for host, key, marked, tokens, sizes, frequent in zip(*(batch[c].to_pylist() for c in ("host", "key", "marked", "tokens", "sizes", "frequent"))):
+        slices = lambda c: np.split(batch[c].flatten().to_numpy(zero_copy_only=False), np.cumsum(batch[c].value_lengths().fill_null(0).to_numpy())[:-1])
+        often, is_null = slices("frequent"), batch["frequent"].is_null().to_pylist()
+        for host, key, marked, tokens, sizes, frequent, all_count in zip(*(batch[c].to_pylist() for c in ("host", "key", "marked")), slices("tokens"), slices("sizes"), often, is_null):
             if len(tokens) < RUN:
                 continue
-            tokens = np.array(tokens, np.int64)
-            sizes = np.array(sizes)
             depth = np.cumsum(np.concatenate(([0], np.repeat(sizes > 0, np.abs(sizes)))))
             inside = depth[RUN:] - depth[:-RUN] == RUN
-            runs = np.lib.stride_tricks.sliding_window_view(tokens.view(np.uint64), RUN) @ MULTIPLIERS
+            places = np.arange(len(tokens) - RUN + 1)
+            if not all_count:
+                among = np.cumsum(np.concatenate(([0], np.isin(tokens, frequent))))
+                places = np.flatnonzero(inside & (among[RUN:] - among[:-RUN] == RUN))
+                if not len(places):
+                    continue
+            runs = np.lib.stride_tricks.sliding_window_view(tokens.astype(np.int64).view(np.uint64), RUN) @ MULTIPLIERS
             runs = ((runs ^ np.uint64(xxhash.xxh64_intdigest(host))) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            places = np.arange(len(runs))
-            if frequent is not None:
-                often = np.cumsum(np.concatenate(([0], np.isin(tokens, frequent))))
-                places = np.flatnonzero(inside & (often[RUN:] - often[:-RUN] == RUN))
             places = places[np.lexsort((places, inside[places], runs[places]))]
             first = np.ones(len(places), bool)
             first[1:] = (runs[places][1:] != runs[places][:-1]) | (inside[places][1:] != inside[places][:-1])
@@ -411,10 +411,9 @@ def split_host_runs(streams: DataFrame, pages: DataFrame) -> DataFrame:
 
 def boilerplate(rows: DataFrame, host_tokens: int = HOST_TOKENS) -> DataFrame:
     """host, key, kept (which blocks stay) of distinct pages that lose blocks to shared runs."""
-    rows = rows.select("host", "key", "marked", "blocks")
-    streams = rows.mapInArrow(stream_rows, STREAM_ROWS)
+    rows = rows.select("host", "key", "marked", "sizes", "blocks")
     length = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, i: n + F.abs(i))
-    pages = streams.groupBy("host", "key").agg(F.first("marked").alias("marked"), F.first("sizes").alias("sizes"), F.count("*").alias("rows"))
+    pages = rows.groupBy("host", "key").agg(F.first("marked").alias("marked"), F.first("sizes").alias("sizes"), F.count("*").alias("rows"))
     pages = stored(pages, "html-pages", compression="zstd")
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages"), F.sum(length("sizes") * F.col("rows")).alias("n"), F.count_if("marked").alias("articles")).withColumn("open", F.col("pages") - F.col("articles"))
     hosts = stored(hosts.filter("pages > 1"), "html-hosts")
