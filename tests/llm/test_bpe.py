@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 from brute import documents, encoded, ordered, tokenizer
 
@@ -52,3 +53,15 @@ def test_encode_then_decode(spark):
     path = bpe.default_vocabulary()
     found = bpe.decode(bpe.encode(df, path), path).collect()
     assert ordered(found) == ordered((r["doc_id"], r["text"] or "") for r in df.collect())
+
+
+def test_memory_of_a_worker_is_bounded():
+    rng, own = random.Random(3), model()
+    texts = (" ".join("".join(rng.choices("abcdeinorst", k=6)) for _ in range(500)) for _ in range(1000))
+    tracemalloc.start()
+    try:
+        for _ in own.encode(texts):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    finally:
+        tracemalloc.stop()

@@ -3,7 +3,8 @@
 Each task reads its texts in slices of about SLICE bytes and gathers the words of pieces that a slice brings anew. Their bytes are
 one list of symbols; an index maps each mergeable pair, by its rank, to all its positions there. Active ranks are applied in
 ascending order, each at all its positions, and each merge enters only the pairs beside the new symbols into the lists of
-their ranks. Texts are then put together from the words' ids. What is remembered between slices is bounded in bytes.
+their ranks. Texts are then put together from the words' ids. What is remembered between slices is bounded in bytes. Both bounds are
+small, since a worker keeps its memory while it waits and while other stages run beside it on the same executor.
 
 Defined results: a null text counts as empty and has no tokens; strings of added tokens in a text become their ids, as
 in the tokenizers library; very long texts are encoded whole, span by span; repeated rows and ties give equal rows; an empty
@@ -28,9 +29,9 @@ from treelake.llm.common import table
 #: Fixed value: the published splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of texts encoded together, and of a span of a longer text.
-SLICE, SPAN = 4 << 20, 1 << 20
+SLICE, SPAN = 1 << 20, 1 << 20
 #: Bytes of remembered pieces.
-REMEMBERED = 96 << 20
+REMEMBERED = 32 << 20
 #: Tokens decoded at once.
 TOKENS = 1 << 18
 #: Marks where a text is cut before its spaces; texts that hold it are cut another way.
