@@ -78,3 +78,18 @@ def test_marginals_equal_the_sum_over_all_paths():
         total += weight
         toxic += weight * np.array(s)
     assert np.allclose(model.marginals([words])[0], toxic / total)
+
+
+def test_fit_scores_its_sample_in_blocks(monkeypatch):
+    texts = [f"some words of text number {i} " * 20 + "vile" * (i % 2) for i in range(40)]
+    wanted, sizes, marginals = toxicity.fit(texts, [i % 2 for i in range(40)], 0.5), [], toxicity.Field.marginals
+
+    def counted(self, words):
+        sizes.append(sum(map(len, words)))
+        return marginals(self, words)
+
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 500)
+    monkeypatch.setattr(toxicity.Field, "marginals", counted)
+    found = toxicity.fit(texts, [i % 2 for i in range(40)], 0.5)
+    assert 1 < len(sizes) and max(sizes) < 700
+    assert (found.scale == wanted.scale).all() and (found.weights == wanted.weights).all()

@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +35,8 @@ PER_CLASS = (4000, 2500)
 WINDOW, SAMPLE_WORDS = 48, 400_000
 #: Most windows of a document in the sample, and most code points of a document there.
 STRETCHES, SAMPLE_CHARS = 7, 50_000
+#: Words whose marginals are held at once.
+WORDS_AT_ONCE = 300_000
 HASH_BITS = 19
 BLOCK = 64
 WORD = re.compile(r"\w+")
@@ -215,7 +217,8 @@ def fit(texts: list[str], labels: list[int], base_rate: float, steps: int = 60,
     empty = Field(np.zeros(1 << HASH_BITS), np.zeros((2, 2)), np.zeros(4), constant=base_rate)
     if not (labels == 1).any() or not (labels == 0).any():
         return empty
-    words = [lower_words(t) for t in texts]
+    same: dict[str, str] = {}
+    words = [[same.setdefault(w, w) for w in lower_words(t)] for t in texts]
     toxic = toxic_words(words, labels)
     random = np.random.default_rng(seed)
     calibrate = np.array([zlib.crc32(t.encode()) % 3 == 0 for t in texts])
@@ -229,9 +232,9 @@ def fit(texts: list[str], labels: list[int], base_rate: float, steps: int = 60,
             feats[r, : len(some)] = [features(w) for w in some]
             tags[r, : len(some)], mask[r, : len(some)] = tag, True
         model.move, model.weights = fit_chain(feats, tags, mask, steps)
-    found = model.marginals(words)
+    found = np.concatenate([model.evidence(m) for _, m in in_blocks(model, words)])
     own = calibrate if 20 < calibrate.sum() and len(set(labels[calibrate])) == 2 else np.ones(len(words), bool)
-    x, y = model.evidence(found)[own], labels[own]
+    x, y = found[own], labels[own]
     weight = np.where(y == 1, base_rate / max((y == 1).mean(), 1e-9), (1 - base_rate) / max((y == 0).mean(), 1e-9))
     for _ in range(30):  # Newton steps of a lightly penalised logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ model.scale, -30, 30)))
@@ -287,15 +290,22 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_C
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], base)
 
 
-def score_batches(model: Field, texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Marginals of the texts, some hundred thousand words at a time: (position of the first, marginals)."""
+def in_blocks(model: Field, texts: Iterable[list[str]]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Marginals of texts as words, some hundred thousand words at a time: (position of the first, marginals)."""
     held, size, start = [], 0, 0
-    for i, text in enumerate(texts):
-        held.append(lower_words(text or ""))
-        size += len(held[-1])
-        if size > 300_000 or i + 1 == len(texts):
+    for words in texts:
+        held.append(words)
+        size += len(words)
+        if size > WORDS_AT_ONCE:
             yield start, model.marginals(held)
-            held, size, start = [], 0, i + 1
+            held, size, start = [], 0, start + len(held)
+    if held:
+        yield start, model.marginals(held)
+
+
+def score_batches(model: Field, texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Marginals of the texts, by in_blocks."""
+    return in_blocks(model, (lower_words(t or "") for t in texts))
 
 
 def offences(text: str, marginals: np.ndarray, least: float) -> list[tuple[int, int, float]]:
