@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import sys
 import tracemalloc
 
 from brute import documents, encoded, ordered, tokenizer
@@ -65,3 +66,26 @@ def test_memory_of_a_worker_is_bounded():
         assert tracemalloc.get_traced_memory()[1] < 200 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_white_space_of_all_kinds_before_spaces_equals_the_library():
+    library, own = tokenizer(), model(slice_size=50)
+    spaces = [c for c in map(chr, range(sys.maxunicode)) if c.isspace()]
+    texts = [f"{a}{b} {c} y{a}  {b}z {a}" for a in "aé你\U0001f600à\x80\x1b" for b in [*spaces, "\u200b", "\u180e", "à", "\u5000"] for c in ("x", "<|endoftext|> ", b)]
+    assert [ids(p) for p in own.encode(texts)] == [w.ids for w in library.encode_batch(texts, add_special_tokens=False)]
+    long = [" ".join(texts), "".join(texts)] * 2
+    assert [ids(p) for p in model(slice_size=50, span=20).encode(long)] == [w.ids for w in library.encode_batch(long, add_special_tokens=False)]
+
+
+def test_many_words_are_encoded_once():
+    own, words = model(), []
+    encode = own.encode_words
+    own.encode_words = lambda new: words.append(len(new)) or encode(new)
+    made = [f" {''.join(chr(97 + i // 26**k % 26) for k in range(4))}" for i in range(400_000)]
+    texts = ["".join(made[i : i + 1000]) for i in range(0, len(made), 1000)] * 2
+    first = list(own.encode(texts))
+    assert first[:400] == first[400:]
+    assert sum(words) == len(made)
+    words.clear()
+    assert list(own.encode(texts)) == first
+    assert sum(words) == 0
