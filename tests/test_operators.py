@@ -145,6 +145,42 @@ def test_history_derives_the_revisions_once(spark):
     assert seen.value == len(rows)
 
 
+def test_chains_have_no_longest_length(spark):
+    """A long chain, one that meets it, one that ends at a missing revision, a cycle, a revision twice, and what no head reaches."""
+    rows = [(f"h{i}", f"h{i - 1}" if i else None) for i in range(260)] + [("m1", "m0"), ("m0", "h40"), ("lost", "gone"), ("single", None), ("self", "self")]
+    rows += [("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("twice", "h7"), ("twice", "single"), ("aside", "h9"), ("ring0", "ring1"), ("ring1", "ring0")]
+    heads = ["h258", "m1", "lost", "self", "c1", "twice", "twice", "unknown", None]
+    reached, ahead = set(), list(heads)
+    while ahead:
+        if (at := ahead.pop()) not in reached:
+            reached.add(at)
+            ahead += [previous for node, previous in rows if node == at and previous]
+    revisions, seen = counting(spark, rows, "hash string, previous string")
+    found = trees.chain(spark.createDataFrame([(h,) for h in heads], "hash string"), revisions)
+    assert sorted(r["hash"] for r in found.collect()) == sorted(node for node, _ in rows if node in reached)
+    assert seen.value == len(rows)
+    none = trees.chain(spark.createDataFrame([], "hash string"), spark.createDataFrame(rows, "hash string, previous string"))
+    assert none.columns == ["hash"] and none.isEmpty()
+
+
+def test_chains_of_all_customers_are_whole(spark, tmp_path):
+    """More than a hundred orders of a customer, customers of any number, one order alone, orders before 1970 and without a time."""
+    import duckdb
+
+    from treelake import plans
+
+    folder = tmp_path / "orders.parquet"
+    orders = [(i, 3 if i < 150 else 70, "F", 10.0 + i, f"19{60 + i // 8:02}-01-{i % 28 + 1:02} 00:00:00", "5-LOW") for i in range(280)]
+    orders += [(280, 5, "O", 1.0, "1995-05-05 00:00:00", "5-LOW"), (281, 6, "O", 1.0, None, "5-LOW"), (282, 6, "O", 1.0, "1995-05-06 00:00:00", "5-LOW"), (283, None, "O", 1.0, "1995-05-07 00:00:00", "5-LOW")]
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"
+    spark.createDataFrame(orders, schema).selectExpr("* except (o_orderdate)", "cast(o_orderdate as timestamp) AS o_orderdate").write.parquet(str(folder))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{folder}/*.parquet')")
+    found = sorted(map(tuple, plans.queries()["gr_chain"](spark, str(tmp_path)).collect()))
+    assert found == sorted(duck.execute(plans.oracle_sql()["gr_chain"]).fetchall())
+    assert len(found) == len(orders)
+
+
 def test_balancing_derives_the_directories_once(spark):
     rows = [("", None, 1, False)] + [(f"/a{i}", "", 5, False) for i in range(4)] + [(f"/a{i}/b{k}", f"/a{i}", 10 + k, False) for i in range(4) for k in range(3)]
     dirs, seen = counting(spark, rows, "path string, parent string, entries long, mount boolean")
